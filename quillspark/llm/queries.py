@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding
 from .common import table
 
 
@@ -14,5 +14,9 @@ def op6_sampled_splitters(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_sampled_splitters)}
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_sampled_splitters, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
