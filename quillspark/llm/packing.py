@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 CAPACITY = 2048
-#: Bound of a worker's word cache, in words, and of the text that is split at once, in characters.
-CACHE_WORDS, CHUNK_CHARS = 400_000, 400_000
+#: Bounds of a worker's caches, in words and in chunks, and of the text that is split at once, in characters.
+CACHE_WORDS, CACHE_CHUNKS, CHUNK_CHARS = 400_000, 400_000, 400_000
 END_ID = 0
 
 
@@ -27,38 +28,62 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _printable() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a printable character: its own where that is visible,
+    else the next free one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordEncoder:
     """Token ids of texts by a vocabulary file whose pre-tokenizer never joins what white space
-    parts, so that a text's ids are its space-separated chunks' ids one after another. Chunks are
-    cached; a chunk of letters and one closing mark is two pieces, each cached by itself."""
+    parts, so that a text's ids are its space-separated chunks' ids one after another.
+
+    A chunk of letters and one closing mark is two pieces, each encoded by itself. Words of Latin
+    letters are one piece whose lower case is told letter by letter, so they go to the merge
+    model directly; all else takes the tokenizer's whole way. Both caches are bounded: a full one
+    becomes the old one, whose entries come back when they are asked for."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.printable = str.maketrans(_printable())
         self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.pop(word, None)
+            if found is None:
+                if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                    plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+                    ids = [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.printable))]
+                else:
+                    ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                found = array("I", ids).tobytes()
+            if len(self.young) >= CACHE_WORDS:
+                self.young, self.old = {}, self.young
+            self.young[word] = found
+        return found
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        parts: dict[str, tuple[str, str]] = {}
-        need: set[str] = set()
-        for c in chunks:
-            if c in cache:
-                continue
+        cache, word = self.cache, self._word
+        missing = [c for c in chunks if c not in cache]
+        if len(cache) + len(missing) > CACHE_CHUNKS:
+            cache.clear()
+            missing = chunks
+        for c in missing:
             low = c.lower() if c.isascii() else c
-            head, tail = (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[:-1].isalpha() else (low, "")
-            parts[c] = head, tail
-            need.add(head)
-            if tail:
-                need.add(tail)
-        todo = [x for x in need if x not in cache]
-        for text, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            cache[text] = array("I", found.ids).tobytes()
-        for c, (head, tail) in parts.items():
-            cache[c] = cache[head] + cache[tail] if tail else cache[head]
+            if low[-1:] in (".", ",") and low[:-1].isalpha():
+                cache[c] = word(low[:-1]) + word(low[-1])
+            else:
+                cache[c] = word(low)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
