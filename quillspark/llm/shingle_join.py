@@ -10,75 +10,32 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import wordhash
 from .common import settle
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-#: Cells of the frequency sketch (4 bytes each) and the rows that it is merged in.
-SKETCH_BITS, SKETCH_ROWS = 20, 16
+#: Cells of the frequency sketch and the rows that it is merged in.
+SKETCH_BITS, SKETCH_ROWS = 24, 64
 #: Most bits of the filter that says which documents are read again.
 FILTER_BITS = 1 << 27
-CACHE_WORDS, CHUNK_BYTES = 300_000, 1_000_000
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    """Word to 64-bit hash, for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def _fold(parts) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = np.zeros_like(parts[0])
-        for p in parts:
-            h = h * _P + p
-        return _mix(h)
 
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
     """The 64-bit shingle hashes of each text, repeats included. Fewer words than width: one of
     the whole sequence. No words: none."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK_BYTES):
-            size += len(texts[hi])
-            hi += 1
-        words = [t.lower().split() for t in texts[lo:hi]]
-        ends = np.cumsum([len(w) for w in words])
-        flat = np.fromiter((_hashes[w] for ws in words for w in ws), np.uint64, int(ends[-1]))
-        rolled = _fold([flat[k : len(flat) - width + 1 + k] for k in range(width)]) if len(flat) >= width else flat[:0]
-        start = 0
-        for end in ends.tolist():
+    for lo, hi in wordhash.chunks(texts):
+        flat, _, _, first, _ = wordhash.words(texts[lo:hi])
+        rolled = wordhash.fold([flat[k : len(flat) - width + 1 + k] for k in range(width)]) if len(flat) >= width else flat[:0]
+        bounds = first.tolist()
+        for start, end in zip(bounds, bounds[1:], strict=False):
             n = end - start
             if n >= width:
                 yield rolled[start : end - width + 1]
             elif n:
-                yield _fold([np.array([n], np.uint64), *(flat[k : k + 1] for k in range(start, end))])
+                yield wordhash.fold([np.array([n], np.uint64), *(flat[k : k + 1] for k in range(start, end))])
             else:
                 yield flat[:0]
-            start = end
-        lo = hi
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
 def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -88,29 +45,32 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     spark = docs.sparkSession
 
     def count(batches):
-        sums = np.zeros(cells, np.int64)
+        sums = np.zeros(cells, np.uint32)
         for batch in batches:
-            for h in shingle_hashes(_texts(batch.column(0)), width):
-                if len(h):
-                    np.add.at(sums, np.unique(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        small = np.minimum(sums, 2**31 - 1).astype("<i4")
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(SKETCH_ROWS), pa.int32()), "sums": [small[k * part : (k + 1) * part].tobytes() for k in range(SKETCH_ROWS)]})
+            for h in shingle_hashes(wordhash.texts_of(batch.column(0)), width):
+                np.add.at(sums, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        for k in range(SKETCH_ROWS):
+            x = sums[k * part : (k + 1) * part]
+            small = x.astype(np.uint8) if x.max() < 256 else x
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([small.tobytes()], pa.binary())})
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(sums, "<i4").astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.int32()), "sums": pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())})
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.uint8 if len(raw) == part else np.uint32)
+                held[k] = held[k] + x if k in held else x.astype(np.int64)
+        for k, x in held.items():  # a byte a cell: eighths of a doubling
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes()], pa.binary())})
 
     tasks = max(2 * spark.sparkContext.defaultParallelism, 8)
     found = docs.select("text").coalesce(tasks).mapInArrow(count, "part int, sums binary")
-    merged = found.repartition(SKETCH_ROWS, "part").mapInArrow(merge, "part int, sums binary").collect()
-    sums = np.zeros(cells, np.int64)
-    for k, raw in merged:
-        sums[k * part : (k + 1) * part] += np.frombuffer(raw, "<i8")
-    usual = max(1.0, float(np.median(sums)))
-    return np.clip(np.floor(np.log2(np.maximum(sums, 1) / (usual + 4 * usual**0.5))) + 1, 0, 15).astype(np.uint8)
+    levels = np.zeros(cells, np.uint8)
+    for k, raw in found.repartition(SKETCH_ROWS, "part").mapInArrow(merge, "part int, sums binary").toLocalIterator():
+        levels[k * part : (k + 1) * part] = np.frombuffer(raw, np.uint8)
+    usual = max(1.0, 2 ** (float(np.median(levels)) / 8) - 1)
+    chance = 8 * np.log2(usual + 4 * usual**0.5 + 1)
+    return np.clip(np.ceil((levels - chance) / 8), 0, 15).astype(np.uint8)
 
 
 def ordered_set(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -136,7 +96,7 @@ def _sets(docs: DataFrame, classes, width: int, percent: int, whole: bool, wante
         bits = wanted.value if wanted is not None else None
         for batch in batches:
             ids = batch.column(0)
-            texts = _texts(batch.column(1))
+            texts = wordhash.texts_of(batch.column(1))
             keep = list(range(len(texts)))
             if bits is not None:
                 at = (batch.column(2).to_numpy(zero_copy_only=False) % (8 * len(bits))).astype(np.int64)
@@ -174,53 +134,59 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Trie:
     """A prefix tree walked along its sorted sequences: what two neighbours share is counted once,
-    and a branch ends as soon as what remains can't reach the overlap that is asked for."""
+    and a branch ends as soon as what remains can't reach the overlap that is asked for. Sequences
+    may be first parts of sets of n elements; then the answer is whether the rest could reach it."""
 
     BLOCK = 64
 
-    def __init__(self, probe: np.ndarray, percent: int = PERCENT):
-        self.probe, self.percent = probe, percent
+    def __init__(self, probe: np.ndarray, n: int, percent: int = PERCENT):
+        self.probe, self.n, self.percent = probe, n, percent
         self.path, self.counts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def reaches(self, s: np.ndarray) -> bool:
-        """Whether the next sequence reaches the threshold with the probe."""
-        a, b = len(self.probe), len(s)
-        if 100 * min(a, b) < self.percent * max(a, b):
+    def reaches(self, s: np.ndarray, n: int) -> bool:
+        if 100 * min(self.n, n) < self.percent * max(self.n, n):
             return False
-        need = -(-self.percent * (a + b) // (100 + self.percent))
-        m = min(len(self.path), b)
+        need = -(-self.percent * (self.n + n) // (100 + self.percent))
+        known = len(s) if len(self.probe) == self.n else int(np.searchsorted(s, self.probe[-1], side="right"))
+        m = min(len(self.path), known)
         differ = np.flatnonzero(self.path[:m] != s[:m])
         depth = int(differ[0]) if len(differ) else m
         counts = [self.counts[: depth + 1]]
         have = int(counts[0][-1])
-        while depth < b and have + b - depth >= need:
-            block = s[depth : depth + self.BLOCK]
+        passed = int(np.searchsorted(self.probe, s[depth - 1], side="right")) if depth else 0
+        while depth < known and have + min(n - depth, self.n - passed) >= need:
+            block = s[depth : min(known, depth + self.BLOCK)]
             at = np.searchsorted(self.probe, block)
-            hit = np.cumsum(self.probe[np.minimum(at, a - 1)] == block)
+            hit = np.cumsum(self.probe[np.minimum(at, len(self.probe) - 1)] == block)
             counts.append(have + hit)
+            passed = int(np.searchsorted(self.probe, block[-1], side="right"))
             have, depth = have + int(hit[-1]), depth + len(block)
         self.path, self.counts = s[:depth], np.concatenate(counts)
-        return depth == b and have >= need
+        if depth == known and known < len(s):
+            passed = len(self.probe)
+        return depth == known and have + min(n - depth, self.n - passed) >= need
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
-    """The (a, b) of pairs that reach the threshold. A leader a goes once to each of the salted
-    groups of its partners, which arrive after it in the order of the tree."""
+    """The (a, b) of pairs that reach the threshold, or may, if sets has first parts. A leader a
+    goes once to each of the salted groups of its partners, which arrive after it in the order of
+    the tree."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     ask = salted.select("a", "salt", F.col("b").alias("nid"), F.lit(1).alias("role")).union(salted.select("a", "salt", F.col("a").alias("nid"), F.lit(0).alias("role")).distinct())
-    rows = ask.join(sets, "nid").select("a", "salt", "role", "nid", "keys")
+    rows = ask.join(sets, "nid").select("a", "salt", "role", "nid", "n", "keys")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "keys")
 
     def run(batches):
         at, trie = None, None
         for batch in batches:
-            a, salt, role, nid = (batch.column(c).to_pylist() for c in range(4))
-            keys, out = batch.column(4), [[], []]
+            a, salt, role, nid, n = (batch.column(c).to_pylist() for c in range(5))
+            lists, out = batch.column(5), [[], []]
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for k in range(len(a)):
-                s = keys[k].values.to_numpy(zero_copy_only=False)
+                s = flat[ends[k] : ends[k + 1]]
                 if role[k] == 0:
-                    at, trie = (a[k], salt[k]), Trie(s, percent)
-                elif at == (a[k], salt[k]) and trie.reaches(s):
+                    at, trie = (a[k], salt[k]), Trie(s.copy(), n[k], percent)
+                elif at == (a[k], salt[k]) and trie.reaches(s, n[k]):
                     out[0].append(a[k])
                     out[1].append(nid[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
@@ -257,7 +223,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
        the next 4, the next 16 and so on, except with those that a chain of links already joins
        to it, for such a link changes no component. So a group of near copies costs one
        comparison each, and every pair that could join two components is compared.
-    4. Comparing walks the partners' ordered sets as a prefix tree (Trie).
+    4. Comparing walks the partners' ordered sets as a prefix tree (Trie): first their prefixes
+       alone, then the whole sets of those that can still reach the threshold, made from the texts
+       again.
 
     Null and empty texts: n_shingles 0, component_id the own doc_id. Repeated rows are rows of one
     node. A null doc_id stays null unless linked to others. An empty table gives an empty result.
@@ -269,17 +237,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     nodes = firsts.where("nid is not null").groupBy("nid").agg(F.first("keys").alias("keys"))
     postings = nodes.select(F.explode("keys").alias("key"), "nid").repartition("key").sortWithinPartitions("key")
     shared = settle(postings.mapInArrow(_shared, "key long, nid long"), "join-groups")
-    involved = settle(shared.select("nid").distinct(), "join-nodes")
-    n = involved.count()
-    if not n:
+    involved = shared.select("nid").distinct()
+    heads = settle(firsts.where("nid is not null").join(involved, "nid", "left_semi").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "join-heads")
+    if heads.isEmpty():
         return firsts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    ids = firsts.join(involved, "nid").groupBy("nid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = spark.sparkContext.broadcast(_wanted_bits(ids, n))
-    whole = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(ids.select("nid", "doc_id"), ["nid", "doc_id"], "left_semi")
-    sets = settle(whole.dropDuplicates(["nid"]).select("nid", "n", "keys"), "join-sets")
-    size = sets.select("nid", "n")
+    sets, read = None, None
     group = W.partitionBy("key")
-    groups = settle(shared.join(size, "nid").withColumn("rank", F.row_number().over(group.orderBy(F.xxhash64("nid"), "nid"))), "join-ranked")
+    groups = settle(shared.join(heads.select("nid", "n"), "nid").withColumn("rank", F.row_number().over(group.orderBy(F.xxhash64("nid"), "nid"))), "join-ranked")
     groups = groups.withColumn("comp", F.col("nid"))
     tested, links, joined = None, None, None
     lo, step = 1, 1
@@ -293,7 +257,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         pairs = settle(pairs, "join-pairs")
         done = pairs.select("lo_id", "hi_id")
         tested = done if tested is None else tested.union(done)
-        found = settle(_verify(pairs.select("a", "b"), sets, percent), "join-links")
+        maybe = settle(_verify(pairs.select("a", "b"), heads, percent), "join-maybe")
+        fresh = maybe.select(F.col("u").alias("nid")).union(maybe.select("v")).distinct()
+        fresh = fresh if read is None else fresh.join(read, "nid", "left_anti")
+        fresh = settle(fresh.join(heads.select("nid", "doc_id"), "nid"), "join-fresh")
+        if n := fresh.count():
+            wanted = spark.sparkContext.broadcast(_wanted_bits(fresh, n))
+            more = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(fresh, ["nid", "doc_id"], "left_semi")
+            more = settle(more.groupBy("nid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "join-sets")
+            sets, read = (more, fresh.select("nid")) if sets is None else (sets.union(more), read.union(fresh.select("nid")))
+        found = maybe if sets is None else settle(_verify(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")), sets, percent), "join-links")
         edges = found if joined is None else found.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
         joined = components(edges)
         lo, step = hi, step * 4
