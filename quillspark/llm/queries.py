@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, sharding, shingle_join
+from . import mixing, packing, pii, quality, sharding, shingle_join, toxicity
 from .common import table
 
 
@@ -30,5 +30,9 @@ def op9_boosted_candidates(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_ngram_jaccard_join, op6_sampled_splitters, op7_ngram_likelihood_ratio, op8_best_fit_packing, op9_boosted_candidates)}
+def op2_noisy_channel_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_noisy_channel_toxicity, op3_mix_sources, op5_ngram_jaccard_join, op6_sampled_splitters, op7_ngram_likelihood_ratio, op8_best_fit_packing, op9_boosted_candidates)}
 ORACLE_SQL: dict[str, str] = {}
