@@ -17,6 +17,10 @@ from .components import components
 WIDTH, PERCENT = 5, 75
 #: Cells of the frequency sketch and the rows that it is merged in.
 SKETCH_BITS, SKETCH_ROWS = 24, 64
+#: Hashes below this, three eighths of all, are counted and come first in the order.
+COUNTED = np.uint64(3 << 61)
+#: Most members of a group whose pairs are listed, and sets in a block beyond that.
+SMALL, BLOCK = 32, 256
 #: Most bits of the filter that says which documents are read again.
 FILTER_BITS = 1 << 27
 
@@ -39,7 +43,7 @@ def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarra
 
 
 def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """For each cell of a hashed sketch how often its shingles occur, as a class: 0 for what a
+    """For each cell of a hashed sketch how often its counted shingles occur, as a class: 0 for what a
     cell holds by chance, one more for each doubling. A fixed number of bytes, over all texts."""
     cells, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_ROWS
     spark = docs.sparkSession
@@ -48,7 +52,7 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         sums = np.zeros(cells, np.uint32)
         for batch in batches:
             for h in shingle_hashes(wordhash.texts_of(batch.column(0)), width):
-                np.add.at(sums, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                np.add.at(sums, (h[h < COUNTED] & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
         for k in range(SKETCH_ROWS):
             x = sums[k * part : (k + 1) * part]
             small = x.astype(np.uint8) if x.max() < 256 else x
@@ -74,9 +78,11 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def ordered_set(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A set in the global order, rare classes first: the class in the four top bits, then the hash."""
-    cls = classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.unique((cls << np.uint64(60)) | (h & np.uint64((1 << 60) - 1)))
+    """A set in the global order: what is counted and rare, what is not counted, then the frequent
+    classes. The class is in four bits below the sign, then comes the hash."""
+    cls = classes[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+    cls = np.where(h < COUNTED, np.where(cls > 0, np.minimum(cls + 1, 15), 0), 1).astype(np.uint64)
+    return np.unique((cls << np.uint64(59)) | (h & np.uint64((1 << 59) - 1)))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -141,7 +147,7 @@ class Trie:
 
     def __init__(self, probe: np.ndarray, n: int, percent: int = PERCENT):
         self.probe, self.n, self.percent = probe, n, percent
-        self.path, self.counts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.path, self.counts = probe[:0], np.zeros(1, np.int64)
 
     def reaches(self, s: np.ndarray, n: int) -> bool:
         if 100 * min(self.n, n) < self.percent * max(self.n, n):
@@ -173,7 +179,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) ->
     the tree."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     ask = salted.select("a", "salt", F.col("b").alias("nid"), F.lit(1).alias("role")).union(salted.select("a", "salt", F.col("a").alias("nid"), F.lit(0).alias("role")).distinct())
-    rows = ask.join(sets, "nid").select("a", "salt", "role", "nid", "n", "keys")
+    rows = ask.join(sets.select("nid", "n", "keys"), "nid").select("a", "salt", "role", "nid", "n", "keys")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "keys")
 
     def run(batches):
@@ -212,24 +218,70 @@ def _wanted_bits(involved: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most_rounds: int = 40) -> DataFrame:
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The links (u, v) between members (bundle, nid, comp) of one bundle but different components.
+    Whoever is not of a bundle's largest component is compared with each block of the bundle: the
+    block's sets are indexed, and a probe meets all of them at once."""
+    of = members.groupBy("bundle", "comp").count()
+    of = of.groupBy("bundle").agg(F.sum("count").alias("m"), F.max_by("comp", "count").alias("main")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    m = members.join(of, "bundle").join(sets.select("nid", "n", "keys"), "nid")
+    targets = m.select("bundle", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "nid", "comp", "n", "keys")
+    probes = m.where("comp <> main").select("bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "nid", "comp", "n", "keys")
+    rows = targets.unionByName(probes).repartition("bundle", "block").sortWithinPartitions("bundle", "block", "role", "nid")
+
+    def run(batches):
+        at, held, index = None, [], None
+        for batch in batches:
+            bundle, blk, role, nid, comp, n = (batch.column(c).to_pylist() for c in range(6))
+            lists, out = batch.column(6), [[], []]
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for k in range(len(nid)):
+                keys = flat[ends[k] : ends[k + 1]]
+                if at != (bundle[k], blk[k]):
+                    at, held, index = (bundle[k], blk[k]), [], None
+                if role[k] == 0:
+                    held.append((nid[k], comp[k], n[k], keys.copy()))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    token = np.concatenate([x[3] for x in held])
+                    owner = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+                    order = np.argsort(token, kind="stable")
+                    index = token[order], owner[order], np.array([x[2] for x in held]), np.array([x[1] for x in held]), np.array([x[0] for x in held])
+                token, owner, sizes, comps, ids = index
+                lo, hi = np.searchsorted(token, keys), np.searchsorted(token, keys, side="right")
+                count = hi - lo
+                spots = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+                both = np.bincount(owner[spots], minlength=len(sizes))
+                hit = np.flatnonzero((100 * both >= percent * (sizes + n[k] - both)) & (comps != comp[k]))
+                hit = hit[np.unique(comps[hit], return_index=True)[1]]  # one link for each component
+                out[0] += [nid[k]] * len(hit)
+                out[1] += ids[hit].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents with 100 * intersection >= percent * union of
     their shingle sets are linked; component_id is the smallest doc_id reachable.
 
     1. A sketch over all texts gives each shingle a frequency class, and so a global order.
     2. Equal sets are one node. Nodes meet in the groups of the elements among their first
        n - ceil(t n) + 1 ones; two nodes that reach the threshold share such a group.
-    3. Within a group, in the order of a hash, the first member is compared with all others, then
-       the next 4, the next 16 and so on, except with those that a chain of links already joins
-       to it, for such a link changes no component. So a group of near copies costs one
-       comparison each, and every pair that could join two components is compared.
-    4. Comparing walks the partners' ordered sets as a prefix tree (Trie): first their prefixes
-       alone, then the whole sets of those that can still reach the threshold, made from the texts
-       again.
+    3. In each group the member whose prefix meets others most, which is what copies were made
+       from, is compared with all others: a group of near copies costs one comparison each.
+    4. Then pairs that no chain of links joins yet are compared, for no other link changes a
+       component: in groups of SMALL members at most pair by pair, and in larger ones, bundled
+       where they overlap, by blocks. Every pair that could join two components is compared.
+    Comparing pairs walks the partners' ordered sets as a prefix tree (Trie): first their prefixes
+    alone, then the whole sets of those that can still reach the threshold, made from the texts
+    again.
 
     Null and empty texts: n_shingles 0, component_id the own doc_id. Repeated rows are rows of one
     node. A null doc_id stays null unless linked to others. An empty table gives an empty result.
-    Other columns are not read. Nodes and shingles are told apart by 64-bit and 60-bit hashes.
+    Other columns are not read. Nodes and shingles are told apart by 64-bit and 59-bit hashes.
     """
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, width))  # 1 byte a cell
@@ -237,46 +289,63 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     nodes = firsts.where("nid is not null").groupBy("nid").agg(F.first("keys").alias("keys"))
     postings = nodes.select(F.explode("keys").alias("key"), "nid").repartition("key").sortWithinPartitions("key")
     shared = settle(postings.mapInArrow(_shared, "key long, nid long"), "join-groups")
-    involved = shared.select("nid").distinct()
-    heads = settle(firsts.where("nid is not null").join(involved, "nid", "left_semi").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "join-heads")
+    # for screening the upper halves of the keys do: equal keys stay equal and in order
+    short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
+    heads = firsts.join(shared.groupBy("nid").agg(F.count("*").alias("met")), "nid").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("met").alias("met"))
+    heads = settle(heads.select("nid", "n", "doc_id", short.alias("keys"), (F.col("met") / F.size("keys")).alias("central")), "join-heads")
     if heads.isEmpty():
         return firsts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    sets, read = None, None
-    group = W.partitionBy("key")
-    groups = settle(shared.join(heads.select("nid", "n"), "nid").withColumn("rank", F.row_number().over(group.orderBy(F.xxhash64("nid"), "nid"))), "join-ranked")
-    groups = groups.withColumn("comp", F.col("nid"))
-    tested, links, joined = None, None, None
-    lo, step = 1, 1
-    for _ in range(most_rounds):
-        hi = lo + step
-        lead = groups.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-        pairs = groups.join(lead, "key").where("rank > ra and comp <> ca and 100 * least(n, na) >= %d * greatest(n, na)" % percent)
-        pairs = pairs.select(F.least("a", "nid").alias("lo_id"), F.greatest("a", "nid").alias("hi_id"), "a", F.col("nid").alias("b")).groupBy("lo_id", "hi_id").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "lo_id", "hi_id")
-        if tested is not None:
-            pairs = pairs.join(tested, ["lo_id", "hi_id"], "left_anti")
-        pairs = settle(pairs, "join-pairs")
-        done = pairs.select("lo_id", "hi_id")
-        tested = done if tested is None else tested.union(done)
-        maybe = settle(_verify(pairs.select("a", "b"), heads, percent), "join-maybe")
-        fresh = maybe.select(F.col("u").alias("nid")).union(maybe.select("v")).distinct()
-        fresh = fresh if read is None else fresh.join(read, "nid", "left_anti")
+    order = W.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("nid"), "nid")
+    groups = settle(shared.join(heads.select("nid", "n", "central"), "nid").withColumn("rank", F.row_number().over(order)).drop("central"), "join-ranked")
+    sets: list[DataFrame] = []
+
+    def gather(wanted_nodes: DataFrame) -> None:
+        """Adds the whole sets of nodes that are not there yet."""
+        fresh = wanted_nodes.distinct()
+        for have in sets:
+            fresh = fresh.join(have.select("nid"), "nid", "left_anti")
         fresh = settle(fresh.join(heads.select("nid", "doc_id"), "nid"), "join-fresh")
         if n := fresh.count():
             wanted = spark.sparkContext.broadcast(_wanted_bits(fresh, n))
             more = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(fresh, ["nid", "doc_id"], "left_semi")
-            more = settle(more.groupBy("nid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "join-sets")
-            sets, read = (more, fresh.select("nid")) if sets is None else (sets.union(more), read.union(fresh.select("nid")))
-        found = maybe if sets is None else settle(_verify(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")), sets, percent), "join-links")
-        edges = found if joined is None else found.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        joined = components(edges)
-        lo, step = hi, step * 4
-        groups = groups.drop("comp").join(joined.withColumnsRenamed({"node": "nid", "component": "comp"}), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        open_keys = groups.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("rank").alias("last")).where((F.col("c0") != F.col("c1")) & (F.col("last") > lo)).select("key")
-        groups = settle(groups.join(open_keys, "key", "left_semi"), "join-open")
-        if groups.isEmpty():
-            break
-    else:
-        raise RuntimeError("groups are still open")
+            sets.append(settle(more.groupBy("nid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "join-sets"))
+
+    def all_sets() -> DataFrame:
+        out = sets[0]
+        for more in sets[1:]:
+            out = out.union(more)
+        return out
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        maybe = settle(_verify(settle(pairs, "join-pairs"), heads, percent), "join-maybe")
+        gather(maybe.select(F.col("u").alias("nid")).union(maybe.select("v")))
+        return settle(_verify(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")), all_sets(), percent), "join-links") if sets else maybe
+
+    def still_open(joined: DataFrame) -> DataFrame:
+        comp = joined.withColumnsRenamed({"node": "nid", "component": "comp"})
+        marked = groups.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        keys = marked.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("rank").alias("m")).where(F.col("c0") != F.col("c1")).select("key", "m")
+        return settle(marked.join(keys, "key"), "join-open")
+
+    similar = "100 * least(n, na) >= %d * greatest(n, na)" % percent
+    first = groups.where("rank = 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"))
+    joined = components(compared(groups.where("rank > 1").join(first, "key").where(similar).select("a", F.col("nid").alias("b")).distinct()))
+    edges = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    rest = still_open(joined)
+    few = rest.where(F.col("m") <= SMALL)
+    lead = few.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
+    # the first member was compared with all; SMALL bounds what a group gives
+    pairs = few.where("rank > 2").join(lead.where("ra > 1"), "key").where("rank > ra and comp <> ca and " + similar)
+    edges = edges.union(compared(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()))
+    joined = components(edges)
+    rest = still_open(joined).where(F.col("m") > SMALL)
+    if not rest.isEmpty():
+        top = rest.where("rank = 1").select("key", F.col("nid").alias("v"))
+        bundles = components(rest.join(top, "key").select(F.col("nid").alias("u"), "v")).withColumnsRenamed({"node": "nid", "component": "bundle"})
+        members = settle(rest.select("nid", "comp").distinct().join(bundles, "nid").select("bundle", "nid", "comp"), "join-bundles")
+        gather(members.select("nid"))
+        links = settle(_block_links(members, all_sets(), percent), "join-links")
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
     labelled = firsts.select("doc_id", "n", "nid").join(joined.withColumnsRenamed({"node": "nid", "component": "comp"}), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     lowest = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
     return labelled.join(lowest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
