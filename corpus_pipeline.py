@@ -3,16 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import mixing
+from quillspark.llm import mixing, packing, pii, shingle_join, toxicity
 from quillspark.llm.common import settle, table
 
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-channel score rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id. Texts
+    without words are linked with nothing and stay; of rows that repeat one stays."""
+    found = shingle_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    # a doc_id stands once, whatever its rows say
+    return kept.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix", _mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("pii", redact), ("mix", mix), ("best_fit_packing", pack)]
 #: No SQL: the stages learn models; they are tested against brute force instead.
 ORACLE_SQL = None
 

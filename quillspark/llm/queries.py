@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, lm, mixing, packing, pii, quality, sharding, shingle_join, toxicity
+from . import embedding_dedup, lm, mixing, packing, pii, quality, sharding, shingle_join, token_counts, toxicity
 from .common import table
 
 
@@ -42,5 +42,9 @@ def op10_robust_pruned_graph(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_noisy_channel_toxicity, op3_mix_sources, op5_ngram_jaccard_join, op6_sampled_splitters, op7_ngram_likelihood_ratio, op8_best_fit_packing, op9_boosted_candidates, op10_robust_pruned_graph)}
+def op4_edit_aware_counts(spark, sf_dir):
+    return token_counts.recount(token_counts.routine_edits(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_noisy_channel_toxicity, op3_mix_sources, op4_edit_aware_counts, op5_ngram_jaccard_join, op6_sampled_splitters, op7_ngram_likelihood_ratio, op8_best_fit_packing, op9_boosted_candidates, op10_robust_pruned_graph)}
 ORACLE_SQL: dict[str, str] = {}
