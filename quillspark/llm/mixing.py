@@ -95,11 +95,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it: a copy that is being served when
     the budget ends stays if at least half of its words were served. Documents without words have
     no share of any budget and stay once."""
-    keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
+    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     plan = (
         schedule(docs, **options)
         .where((F.col("size") == 0) | (2 * F.col("taken") >= F.col("size")) & (F.col("taken") > 0))
-        .groupBy("uid").agg(F.count("*").alias("__copies"))
+        .groupBy("uid").agg(F.count("*").cast("int").alias("copies"))
     )
-    out = keyed.join(plan, keyed["__uid"] == plan["uid"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[out[c] for c in docs.columns])
+    out = keyed.join(plan, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

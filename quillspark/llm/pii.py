@@ -257,8 +257,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets, overlapping spans
     by the first one's. A null text stays null."""
-    others = [c for c in docs.columns if c != "text"]
-    d = judged_spans(docs, [F.col(c) for c in others] + [F.col("text").isNull().alias("__null")])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", F.col("text").isNull().alias("__null"))
+    d = judged_spans(whole, ["__row", "__null"])
     d = d.withColumn("__all", F.sort_array(F.concat("base", "more")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -268,4 +268,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("__all", start, step, lambda a: F.concat(a.out, F.substr("__t", a.at + 1, F.length("__t"))))
     text = F.when(F.col("__null"), None).when(F.size("__all") == 0, F.col("__t")).otherwise(done)
-    return d.withColumn("text", text).select(*docs.columns)
+    return d.select(*[text.alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
