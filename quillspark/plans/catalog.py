@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import change_queries, retrieval_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "ret_rrf"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
