@@ -164,17 +164,23 @@ def _search(classes: DataFrame, dims: int, centroids, overlap: int, limit: float
         x = _matrix(table.column("x").combine_chunks(), dims)[order]
         ids = ids[order]
         g = robust_prune(x)
-        keep = g >= 0
-        rows, _ = np.nonzero(keep)
-        return pa.table({"u": ids[rows], "v": ids[g[keep]]})
-
-    edges = spread.select("shard", "id", "x").groupBy("shard").applyInArrow(build, "u long, v long").distinct()
-    edges = settle(edges, "graph-edges")
-    members = spread.select("shard", "id")
-    # every edge of a member goes to its shard, and the vectors at the other ends with it
-    around = members.join(edges.withColumnRenamed("u", "id"), "id").select("shard", F.col("id").alias("u"), "v")
-    lists = around.groupBy("shard", "u").agg(F.collect_set("v").alias("nbrs")).withColumnRenamed("u", "id")
-    halo = around.select("shard", F.col("v").alias("id")).distinct().join(members, ["shard", "id"], "left_anti").join(classes.select("id", "x"), "id")
+        lists, near = [], []
+        for k, row in enumerate(g):
+            row = row[row >= 0]
+            lists.append(ids[row])
+            near.append(ids[row[x[row] @ x[k] >= limit - 0.1]])
+        shard = pa.array(np.full(len(ids), table.column("shard")[0].as_py(), np.int32))
+        longs = pa.list_(pa.int64())
+        return pa.table({"shard": shard, "id": ids, "nbrs": pa.array(lists, longs), "near": pa.array(near, longs)})
+
+    built = settle(spread.select("shard", "id", "x").groupBy("shard").applyInArrow(build, "shard int, id long, nbrs array<bigint>, near array<bigint>"), "graph-lists")
+    # what other shards found near a vector joins its list in its home shard, and with it the
+    # vectors at the other ends that are strangers there
+    home = spread.where("home").select("shard", "id")
+    near = built.select("id", F.explode("near").alias("v")).distinct().join(home, "id")
+    added = near.groupBy("shard", "id").agg(F.collect_set("v").alias("more"))  # OVERLAP * DEGREE at most
+    lists = built.select("shard", "id", "nbrs").join(added, ["shard", "id"], "left").select("shard", "id", F.array_union("nbrs", F.coalesce("more", F.array().cast("array<bigint>"))).alias("nbrs"))
+    halo = near.select("shard", F.col("v").alias("id")).distinct().join(spread.select("shard", "id"), ["shard", "id"], "left_anti").join(classes.select("id", "x"), "id")
     rows = spread.join(lists, ["shard", "id"], "left").select("shard", "home", "id", "x", "nbrs").unionByName(halo.select("shard", F.lit(None).cast("boolean").alias("home"), "id", "x", F.lit(None).cast("array<bigint>").alias("nbrs")))
 
     def search(table: pa.Table) -> pa.Table:
@@ -231,7 +237,8 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
 
     Equal vectors are one class. Classes join the shards of their OVERLAP nearest centroids; each
     shard builds a robust-pruned graph; adjacency lists are united; in its home shard, whose lists
-    reach into the others, each class is searched for from the medoid, range-expanding. Every link
+    reach into the others where those found it near vectors, each class is searched for from the
+    medoid, range-expanding. Every link
     is checked in double precision. A brute-force audit of AUDIT classes measures recall; below
     RECALL the search is done again with twice the overlap and beam.
 
