@@ -271,3 +271,11 @@ def str_units(spark, sf_dir):
     h = F.col("html")
     n = lambda tag: F.regexp_count(h, F.lit(f"<{tag}[ >]")).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", n("li").alias("n_items"), n("p").alias("n_paragraphs"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("select page_id, regexp_extract(lower(regexp_extract(url, '^[^?#]*', 0)), '\\.(html|pdf|txt)$', 1) as ext, 'html' as sniffed from pages")
+def src_declared_format(spark, sf_dir):
+    from ..sources import sniffed_format
+
+    path = F.lower(F.regexp_extract("url", "^[^?#]*", 0))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(path, r"\.(html|pdf|txt)$", 1).alias("ext"), sniffed_format(F.col("html").cast("binary")).alias("sniffed"))
