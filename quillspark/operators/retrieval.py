@@ -42,7 +42,8 @@ def cosine(a, b):
     x, y = scaled(a), scaled(b)
     dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p * p))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (norm(x) * norm(y))))
+    c = dot / (norm(x) * norm(y))
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
