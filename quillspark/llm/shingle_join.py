@@ -49,10 +49,22 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     spark = docs.sparkSession
 
     def count(batches):
-        sums = np.zeros(cells, np.uint32)
+        sums, held, n = np.zeros(cells, np.uint16), [], 0
+
+        def add():
+            cell, times = np.unique(np.concatenate(held), return_counts=True)
+            sums[cell] = np.minimum(sums[cell].astype(np.int64) + times, 65535)
+
         for batch in batches:
             for h in shingle_hashes(wordhash.texts_of(batch.column(0)), width):
-                np.add.at(sums, (h[h < COUNTED] & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+                held.append((h[h < COUNTED] & np.uint64(cells - 1)).astype(np.int64))
+                n += len(held[-1])
+                if n > 200_000:
+                    add()
+                    held.clear()
+                    n = 0
+        if held:
+            add()
         for k in range(SKETCH_ROWS):
             x = sums[k * part : (k + 1) * part]
             small = x.astype(np.uint8) if x.max() < 256 else x
@@ -62,7 +74,7 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint8 if len(raw) == part else np.uint32)
+                x = np.frombuffer(raw, np.uint8 if len(raw) == part else np.uint16)
                 held[k] = held[k] + x if k in held else x.astype(np.int64)
         for k, x in held.items():  # a byte a cell: eighths of a doubling
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes()], pa.binary())})
@@ -218,27 +230,34 @@ def _wanted_bits(involved: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """The links (u, v) between members (bundle, nid, comp) of one bundle but different components.
-    Whoever is not of a bundle's largest component is compared with each block of the bundle: the
-    block's sets are indexed, and a probe meets all of them at once."""
-    of = members.groupBy("bundle", "comp").count()
-    of = of.groupBy("bundle").agg(F.sum("count").alias("m"), F.max_by("comp", "count").alias("main")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    m = members.join(of, "bundle").join(sets.select("nid", "n", "keys"), "nid")
-    targets = m.select("bundle", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "nid", "comp", "n", "keys")
-    probes = m.where("comp <> main").select("bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "nid", "comp", "n", "keys")
-    rows = targets.unionByName(probes).repartition("bundle", "block").sortWithinPartitions("bundle", "block", "role", "nid")
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The links (u, v) between members of one group (key, nid, comp) and different components.
+    Members with the same smallest key make blocks of about block sets, which are indexed; a probe
+    meets all sets of a block at once. Whoever is not of a group's largest component goes to every
+    block that holds one of the group."""
+    sizes = rest.select("nid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    of = rest.groupBy("nid", "comp").agg(F.min("key").alias("home"))
+    many = of.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    at = of.join(many, "home").select("nid", "comp", "home", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
+    at = settle(at, "join-blocks")
+    main = rest.join(sizes, "comp").groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
+    held = rest.select("key", "nid").join(at.select("nid", "home", "block"), "nid").select("key", "home", "block").distinct()
+    asking = rest.join(main, "key").where("comp <> main").select("key", "nid", "comp")
+    asking = asking.join(held, "key").select("nid", "comp", "home", "block").distinct()
+    rows = at.select("nid", "comp", "home", "block", F.lit(0).alias("role")).unionByName(asking.withColumn("role", F.lit(1)))
+    rows = rows.join(sets.select("nid", "n", "keys"), "nid").select("home", "block", "role", "nid", "comp", "n", "keys")
+    rows = rows.repartition("home", "block").sortWithinPartitions("home", "block", "role", "nid")
 
     def run(batches):
         at, held, index = None, [], None
         for batch in batches:
-            bundle, blk, role, nid, comp, n = (batch.column(c).to_pylist() for c in range(6))
+            home, blk, role, nid, comp, n = (batch.column(c).to_pylist() for c in range(6))
             lists, out = batch.column(6), [[], []]
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for k in range(len(nid)):
                 keys = flat[ends[k] : ends[k + 1]]
-                if at != (bundle[k], blk[k]):
-                    at, held, index = (bundle[k], blk[k]), [], None
+                if at != (home[k], blk[k]):
+                    at, held, index = (home[k], blk[k]), [], None
                 if role[k] == 0:
                     held.append((nid[k], comp[k], n[k], keys.copy()))
                     continue
@@ -273,8 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     3. In each group the member whose prefix meets others most, which is what copies were made
        from, is compared with all others: a group of near copies costs one comparison each.
     4. Then pairs that no chain of links joins yet are compared, for no other link changes a
-       component: in groups of SMALL members at most pair by pair, and in larger ones, bundled
-       where they overlap, by blocks. Every pair that could join two components is compared.
+       component: in groups of SMALL members at most pair by pair, and in larger ones by blocks. Every pair that could join two components is compared.
     Comparing pairs walks the partners' ordered sets as a prefix tree (Trie): first their prefixes
     alone, then the whole sets of those that can still reach the threshold, made from the texts
     again.
@@ -296,7 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     if heads.isEmpty():
         return firsts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     order = W.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("nid"), "nid")
-    groups = settle(shared.join(heads.select("nid", "n", "central"), "nid").withColumn("rank", F.row_number().over(order)).drop("central"), "join-ranked")
+    groups = settle(shared.join(heads.select("nid", "n", "central"), "nid").withColumn("rank", F.row_number().over(order)).withColumn("m", F.max("rank").over(W.partitionBy("key"))).drop("central"), "join-ranked")
     sets: list[DataFrame] = []
 
     def gather(wanted_nodes: DataFrame) -> None:
@@ -321,30 +339,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         gather(maybe.select(F.col("u").alias("nid")).union(maybe.select("v")))
         return settle(_verify(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")), all_sets(), percent), "join-links") if sets else maybe
 
-    def still_open(joined: DataFrame) -> DataFrame:
+    def still_open(groups: DataFrame, joined: DataFrame) -> DataFrame:
         comp = joined.withColumnsRenamed({"node": "nid", "component": "comp"})
         marked = groups.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        keys = marked.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("rank").alias("m")).where(F.col("c0") != F.col("c1")).select("key", "m")
-        return settle(marked.join(keys, "key"), "join-open")
+        keys = marked.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("key")
+        return settle(marked.join(keys, "key", "left_semi"), "join-open")
 
     similar = "100 * least(n, na) >= %d * greatest(n, na)" % percent
     first = groups.where("rank = 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"))
     joined = components(compared(groups.where("rank > 1").join(first, "key").where(similar).select("a", F.col("nid").alias("b")).distinct()))
     edges = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    rest = still_open(joined)
-    few = rest.where(F.col("m") <= SMALL)
-    lead = few.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-    # the first member was compared with all; SMALL bounds what a group gives
-    pairs = few.where("rank > 2").join(lead.where("ra > 1"), "key").where("rank > ra and comp <> ca and " + similar)
+    # two members: the first one was compared with the other
+    few = still_open(groups.where((F.col("m") > 2) & (F.col("m") <= SMALL)).select("key", "nid", "n", "rank"), joined)
+    lead = few.where("rank > 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
+    pairs = few.where("rank > 2").join(lead, "key").where("rank > ra and comp <> ca and " + similar)
     edges = edges.union(compared(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()))
     joined = components(edges)
-    rest = still_open(joined).where(F.col("m") > SMALL)
+    rest = still_open(groups.where(F.col("m") > SMALL).select("key", "nid"), joined)
     if not rest.isEmpty():
-        top = rest.where("rank = 1").select("key", F.col("nid").alias("v"))
-        bundles = components(rest.join(top, "key").select(F.col("nid").alias("u"), "v")).withColumnsRenamed({"node": "nid", "component": "bundle"})
-        members = settle(rest.select("nid", "comp").distinct().join(bundles, "nid").select("bundle", "nid", "comp"), "join-bundles")
-        gather(members.select("nid"))
-        links = settle(_block_links(members, all_sets(), percent), "join-links")
+        gather(rest.select("nid"))
+        links = settle(_block_links(rest, all_sets(), percent, BLOCK), "join-links")
         joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
     labelled = firsts.select("doc_id", "n", "nid").join(joined.withColumnsRenamed({"node": "nid", "component": "comp"}), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     lowest = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
