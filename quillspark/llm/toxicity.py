@@ -164,7 +164,7 @@ def _decoder(model) -> Decoder:
     return _decoder.decoder
 
 
-def _fit(rows: list[tuple[dict[str, int], int]], names: list[str], ridge: float = 0.5, rounds: int = 12):
+def _fit(rows: list[tuple[dict[str, int], int]], names: list[str], ridge: float = 0.2, rounds: int = 12):
     """Ridge logistic regression by Newton steps: (weight of each feature, intercept)."""
     at = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1), np.float32)
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
     counts = restored.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("n0"))
     bad, all_ = restored.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     expected = (F.col("n1") + F.col("n0")) * (bad / max(1, all_))
-    names = [r[0] for r in counts.where("n1 >= 3").orderBy(F.desc((F.col("n1") - expected) / F.sqrt(expected + 1.0)), "feature").limit(CANDIDATES).collect()]
+    names = [r[0] for r in counts.where((F.col("n1") >= 3) & (F.col("n1") > 1.5 * expected)).orderBy(F.desc((F.col("n1") - expected) / F.sqrt(expected + 1.0)), "feature").limit(CANDIDATES).collect()]
     wanted = frozenset(names)  # CANDIDATES strings
 
     def pick(batches):
