@@ -18,7 +18,7 @@ from .common import settle
 
 CAPACITY = 2048
 #: Bounds of a worker's caches, in words and in chunks, and of the text that is split at once, in characters.
-CACHE_WORDS, CACHE_CHUNKS, CHUNK_CHARS = 400_000, 400_000, 400_000
+CACHE_WORDS, CACHE_CHUNKS, CHUNK_CHARS = 200_000, 200_000, 400_000
 END_ID = 0
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens of a leaf; bound of a worker's cache, in pre-tokens.
-LEAF, CACHE = 32, 500_000
+LEAF, CACHE = 32, 300_000
 
 
 class Counter:

@@ -18,7 +18,7 @@ from .shingle_join import shingle_hashes
 
 #: Most labelled documents that the lexicon is fitted on, by a hash of doc_id; most of its candidates.
 LABELLED, CANDIDATES = 20_000, 500
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Character classes: 0 for what is no letter, 1 to 26, 27 for bytes of other letters.
 CLASSES, ORDER = 28, 4
 #: What a written character may stand for.
@@ -158,12 +158,6 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in range(3, min(len(word), 9)))]
 
 
-def _decoder(model) -> Decoder:
-    if getattr(_decoder, "of", None) is not model:
-        _decoder.of, _decoder.decoder = model, Decoder(model)
-    return _decoder.decoder
-
-
 def _fit(rows: list[tuple[dict[str, int], int]], names: list[str], ridge: float = 0.2, rounds: int = 12):
     """Ridge logistic regression by Newton steps: (weight of each feature, intercept)."""
     at = {f: k for k, f in enumerate(names)}
@@ -200,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
     sample = docs.select(id_column, "text").join(F.broadcast(known), id_column).where("text is not null")  # LABELLED rows
 
     def words(batches):
-        dec = _decoder(sent.value)
+        dec = Decoder(sent.value)
         for batch in batches:
             out = [sorted(dec.restore(t)) for t in batch.column(1).to_pylist()]
             least = [int(h.min() >> np.uint64(1)) if len(h) else 0 for h in shingle_hashes(wordhash.texts_of(batch.column(1)))]
