@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, settle, text_or_empty
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -55,6 +55,7 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
     )
+    d = settle(d, "mix-sizes")  # texts are read once
     d = d.withColumn("u", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("lane", F.pmod(F.shiftright("u", 20), F.lit(lanes)).cast("int"))
     targets = source_targets(d, weights, max_epochs).drop("source")
     in_lane = d.groupBy("source_key", "lane").agg(F.sum("size").alias("lane_size"))
@@ -70,7 +71,9 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int
     d = d.where((F.col("epoch") == 0) | (F.col("served_before") < quota))
     d = d.withColumn("finish", F.coalesce((F.col("served_before") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)))
     d = d.withColumn("words", F.least("size", F.greatest(F.lit(0), quota - F.col("served_before"))))
-    d = d.withColumn("span", F.least(F.floor(F.col("finish") * lanes), F.lit(lanes)).cast("int"))
+    # what gets no words has no place in the order: it is dealt over all spans
+    idle = F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("int")
+    d = d.withColumn("span", F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * lanes), F.lit(lanes)).cast("int")).otherwise(idle))
     d = d.select("uid", "doc_id", "size", "source_size", "target", "budget", "epoch", "finish", "words", "span")
     spans = d.groupBy("span").agg(F.sum("words").alias("span_words"))
     spans = spans.withColumn("span_start", F.sum("span_words").over(W.orderBy("span")) - F.col("span_words")).drop("span_words")
