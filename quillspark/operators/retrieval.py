@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, fold, tokens
+from ..functions.text import fold, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -81,7 +81,7 @@ def rerank_phrase(candidates: DataFrame, query: str, text: str = "text") -> Data
     return d.withColumn("new_rank", F.row_number().over(W.orderBy(F.desc("score"), "rank")))
 
 
-def boundaries(vectors: DataFrame, threshold: float = 0.55, key: str = "vec_id", lanes: int | None = None) -> DataFrame:
+def boundaries(vectors: DataFrame, threshold: float = 0.55, key: str = "vec_id") -> DataFrame:
     """Neighbours in key order whose cosine is below the threshold. Each row meets the row before
     it by a join on the key's rank; keys without gaps need no window at all."""
     before = vectors.select((F.col(key) + 1).alias(key), F.col("embedding").alias("__e"))
@@ -131,6 +131,3 @@ def retrieve(corpus: DataFrame, mode: str, query: str = "", vectors: DataFrame |
         return top(rrf([lexical(candidates), near(candidates)], "doc_id"), limit)
     raise ValueError(f"no mode {mode}")
 
-
-def casefolded(c):
-    return casefold(c)
