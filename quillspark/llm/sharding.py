@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -80,7 +78,3 @@ def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 32, samples
         (F.col("row") - F.col("first_row")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
-
-def range_of(key: int, cuts: list[int]) -> int:
-    """The range that a key falls in, for tests."""
-    return bisect_right(cuts, key)
