@@ -135,19 +135,34 @@ def _sets(docs: DataFrame, classes, width: int, percent: int, whole: bool, wante
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, nid) rows sorted by key those whose key has more than one. Holds one row over."""
-    last, last_out = None, True
+    """Of (key, nid) rows sorted by key: (key, nid, null) for keys of three rows or more, and for
+    keys of two the pair (null, a, b), each pair once a batch. Holds two rows over at most."""
+    empty = np.zeros(0, np.int64)
+    held_key, held_nid, large = empty, empty, None
+
+    def out(keys, nids, pairs):
+        k = pairs.shape[1]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(keys), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([nids, pairs[0]])), pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(pairs[1])])], names=["key", "nid", "other"])
+
+    def pairs_of(a, b):
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+
     for batch in batches:
-        key, nid = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        key, nid = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in ((0, held_key), (1, held_nid)))
         if not len(key):
             continue
-        same = key[1:] == key[:-1]
-        before, after = np.concatenate([[last is not None and last[0] == key[0]], same]), np.concatenate([same, [False]])
-        out = before | after
-        if before[0] and not last_out:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "nid"])
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(nid[out])], names=["key", "nid"])
-        last, last_out = (key[-1], nid[-1]), bool(out[-1])
+        start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        size = np.diff(np.append(start, len(key)))
+        many = size >= 3
+        many[0] |= large is not None and key[0] == large
+        last_open = not many[-1]
+        large = None if last_open else key[-1]
+        keep = np.repeat(many, size)
+        held_key, held_nid = (key[start[-1] :], nid[start[-1] :]) if last_open else (empty, empty)
+        two = start[(size == 2) & ~many & (start < start[-1])]
+        yield out(key[keep], nid[keep], pairs_of(nid[two], nid[two + 1]))
+    if len(held_key) == 2:
+        yield out(empty, empty, pairs_of(held_nid[:1], held_nid[1:]))
 
 
 class Trie:
@@ -241,9 +256,9 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) ->
     at = of.join(many, "home").select("nid", "comp", "home", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
     at = settle(at, "join-blocks")
     main = rest.join(sizes, "comp").groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
-    held = rest.select("key", "nid").join(at.select("nid", "home", "block"), "nid").select("key", "home", "block").distinct()
-    asking = rest.join(main, "key").where("comp <> main").select("key", "nid", "comp")
-    asking = asking.join(held, "key").select("nid", "comp", "home", "block").distinct()
+    held = rest.select("key", "nid").join(at.select("nid", "home", "block"), "nid").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("home", "block"))).alias("at"))
+    asking = rest.join(main, "key").where("comp <> main").select("key", "nid", "comp").join(held, "key")
+    asking = asking.groupBy("nid", "comp").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at")).select("nid", "comp", F.explode("at").alias("x")).select("nid", "comp", "x.home", "x.block")
     rows = at.select("nid", "comp", "home", "block", F.lit(0).alias("role")).unionByName(asking.withColumn("role", F.lit(1)))
     rows = rows.join(sets.select("nid", "n", "keys"), "nid").select("home", "block", "role", "nid", "comp", "n", "keys")
     rows = rows.repartition("home", "block").sortWithinPartitions("home", "block", "role", "nid")
@@ -289,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     1. A sketch over all texts gives each shingle a frequency class, and so a global order.
     2. Equal sets are one node. Nodes meet in the groups of the elements among their first
        n - ceil(t n) + 1 ones; two nodes that reach the threshold share such a group.
-    3. In each group the member whose prefix meets others most, which is what copies were made
+    3. Pairs that alone share an element are compared. In each larger group the member whose prefix meets others most, which is what copies were made
        from, is compared with all others: a group of near copies costs one comparison each.
     4. Then pairs that no chain of links joins yet are compared, for no other link changes a
        component: in groups of SMALL members at most pair by pair, and in larger ones by blocks. Every pair that could join two components is compared.
@@ -306,10 +321,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     firsts = settle(_sets(docs, classes, width, percent, whole=False), "join-prefixes")
     nodes = firsts.where("nid is not null").groupBy("nid").agg(F.first("keys").alias("keys"))
     postings = nodes.select(F.explode("keys").alias("key"), "nid").repartition("key").sortWithinPartitions("key")
-    shared = settle(postings.mapInArrow(_shared, "key long, nid long"), "join-groups")
+    met = settle(postings.mapInArrow(_shared, "key long, nid long, other long"), "join-groups")
+    shared, two = met.where("key is not null").select("key", "nid"), met.where("key is null").select("nid", "other").distinct()
     # for screening the upper halves of the keys do: equal keys stay equal and in order
     short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
-    heads = firsts.join(shared.groupBy("nid").agg(F.count("*").alias("met")), "nid").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("met").alias("met"))
+    often = met.where("key is not null").select("nid").union(two.select("nid")).union(two.select("other")).groupBy("nid").agg(F.count("*").alias("met"))
+    heads = firsts.join(often, "nid").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("met").alias("met"))
     heads = settle(heads.select("nid", "n", "doc_id", short.alias("keys"), (F.col("met") / F.size("keys")).alias("central")), "join-heads")
     if heads.isEmpty():
         return firsts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -347,10 +364,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     similar = "100 * least(n, na) >= %d * greatest(n, na)" % percent
     first = groups.where("rank = 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"))
-    joined = components(compared(groups.where("rank > 1").join(first, "key").where(similar).select("a", F.col("nid").alias("b")).distinct()))
+    led = groups.where("rank > 1").join(first, "key").where(similar).select("a", F.col("nid").alias("b"))
+    joined = components(compared(led.union(two).distinct()))
     edges = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    # two members: the first one was compared with the other
-    few = still_open(groups.where((F.col("m") > 2) & (F.col("m") <= SMALL)).select("key", "nid", "n", "rank"), joined)
+    few = still_open(groups.where(F.col("m") <= SMALL).select("key", "nid", "n", "rank"), joined)
     lead = few.where("rank > 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
     pairs = few.where("rank > 2").join(lead, "key").where("rank > ra and comp <> ca and " + similar)
     edges = edges.union(compared(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()))

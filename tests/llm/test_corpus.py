@@ -360,3 +360,19 @@ def test_toxicity(spark):
     none = toxicity.score(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.where("predicted = 1").count() == 0
     assert toxicity.score(empty(spark), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_shared_runs_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = sorted((rng.randint(0, 12), k) for k in range(rng.randint(0, 40)))
+        step = rng.randint(1, 7)
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows[i : i + step]], pa.int64()), "nid": pa.array([r[1] for r in rows[i : i + step]], pa.int64())}) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in shingle_join._shared(iter(batches)) for r in b.to_pylist()]
+        by = {}
+        for k, n in rows:
+            by.setdefault(k, []).append(n)
+        want = [(k, n, None) for k, v in by.items() if len(v) > 2 for n in v] + [(None, *sorted(v)) for v in by.values() if len(v) == 2]
+        assert sorted(got, key=str) == sorted(want, key=str)
