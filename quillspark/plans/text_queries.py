@@ -49,19 +49,22 @@ def src_context_read(spark, sf_dir):
 
 @query("select item_id, doc_id, strpos(d.text, b.text) - 1 as start from benchmark b join documents d on contains(d.text, b.text)")
 def ver_evidence(spark, sf_dir):
-    """Quotes meet only documents that hold their first five words in a row."""
-    five = lambda c: F.array_join(F.slice(F.split(c, r"[ \n]+"), 1, 5), " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), five(F.col("text")).alias("k"))
-    w = F.split("text", r"[ \n]+")
-    keys = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, 5), " "))
+    """Quotes of seven words or more meet documents by the hash of their second to sixth word, which stand whole
+    wherever the quote does; then the text decides."""
+    def hashes(c):
+        return F.transform(F.split(c, r"[ \n]+"), lambda w: F.xxhash64(w))
+
+    def key(i):
+        return F.xxhash64(*[F.get("h", i + k) for k in range(5)])
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), hashes(F.col("text")).alias("h"))
+    b = b.where(F.size("h") >= 7).select("item_id", "quote", key(F.lit(1)).alias("k"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(F.broadcast(b.select("k").distinct()) if b.count() <= 10_000 else b.select("k").distinct(), "k", "left_semi")
-    pairs = hit.join(b.select("k", "item_id", "quote"), "k").select("doc_id", "item_id", "quote")
-    # a word that goes on before or behind the quote hides a key: those are found by the quote's inner words
-    inner = lambda c: F.array_join(F.slice(F.split(c, r"[ \n]+"), 2, 5), " ")
-    b2 = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), inner(F.col("text")).alias("k"))
-    hit2 = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(b2, "k").select("doc_id", "item_id", "quote")
-    both = pairs.union(hit2).distinct().join(d, "doc_id").where(F.contains("text", "quote"))
+    keyed = d.select("doc_id", hashes(F.col("text")).alias("h"))
+    keyed = keyed.select("doc_id", F.when(F.size("h") >= 5, F.transform(F.sequence(F.lit(0), F.size("h") - 5), key)).alias("ks"))
+    # an outer explode keeps filters out of the expressions that make the array
+    met = keyed.select("doc_id", F.explode_outer(F.array_distinct("ks")).alias("k")).join(b, "k").select("doc_id", "item_id", "quote").distinct()
+    both = met.join(d, "doc_id").where(F.contains("text", "quote"))
     return both.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).cast("long").alias("start"))
 
 
