@@ -246,12 +246,12 @@ def _wanted_bits(involved: DataFrame, n: int) -> np.ndarray:
 
 
 def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """The links (u, v) between members of one group (key, nid, comp) and different components.
-    Members with the same smallest key make blocks of about block sets, which are indexed; a probe
+    """The links (u, v) between members of one group (key, m, nid, comp) and different components.
+    Members whose largest group is the same make blocks of about block sets, which are indexed; a probe
     meets all sets of a block at once. Whoever is not of a group's largest component goes to every
     block that holds one of the group."""
     sizes = rest.select("nid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    of = rest.groupBy("nid", "comp").agg(F.min("key").alias("home"))
+    of = rest.groupBy("nid", "comp").agg(F.max(F.struct("m", "key")).alias("h")).select("nid", "comp", F.col("h.key").alias("home"))
     many = of.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     at = of.join(many, "home").select("nid", "comp", "home", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
     at = settle(at, "join-blocks")
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = few.where("rank > 2").join(lead, "key").where("rank > ra and comp <> ca and " + similar)
     edges = edges.union(compared(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()))
     joined = components(edges)
-    rest = still_open(groups.where(F.col("m") > SMALL).select("key", "nid"), joined)
+    rest = still_open(groups.where(F.col("m") > SMALL).select("key", "m", "nid"), joined)
     if not rest.isEmpty():
         gather(rest.select("nid"))
         links = settle(_block_links(rest, all_sets(), percent, BLOCK), "join-links")
