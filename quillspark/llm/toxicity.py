@@ -27,7 +27,11 @@ _ODD = re.compile(r"[0-9@$!|+€£*]")
 _RUN = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„’‘–—…¿¡"
-_SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|+][ .\-_*]{1,2}){3,}[a-z0-9@$](?![^\s.,;:!?])")
+#: Four single characters or more with separators between; possessive, so that rows of bars cost their length.
+_SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+](?:[ .\-_*]{1,2}+[a-z0-9@$!|+](?![^\s.,;:!?\-_*])){3,}+")
+_BETWEEN = re.compile(r"[ .\-_*]")
+#: Ways to write a run of one letter in a spaced passage: one or two of it, or some on each side of a word break.
+_SPLIT = ((1, 0), (2, 0), (1, 1), (2, 1), (1, 2), (2, 2))
 _DOTTED = re.compile(r"^(?:[a-z0-9@$!|+][.\-_*]){2,}[a-z0-9@$!|+]$")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _CLASS = np.zeros(256, np.uint32)
@@ -86,32 +90,54 @@ def _class_of(letter: str) -> int:
 
 class Decoder:
     """Restores words: each written character is a choice of letters, a run of three or more one or
-    two of them, and Viterbi takes the likeliest way through."""
+    two of them, a separator of a spaced passage a word break or nothing, and Viterbi takes the
+    likeliest way through."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
         self.cache: dict[str, tuple[str, ...]] = {}
 
-    def viterbi(self, written: str) -> str:
-        states = {(0, 0, 0): (0.0, "")}
+    def viterbi(self, written: str, spaced: bool = False) -> str:
+        """The likeliest reading. spaced: between any two characters there was a separator."""
+        # a way is (way before, option): ways that no state leads on are freed, the cost is linear
+        states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         k = 0
         while k < len(written):
             run = 1
             while k + run < len(written) and written[k + run] == written[k]:
                 run += 1
-            options = [o * n for o in CHANNEL.get(written[k], written[k]) for n in ((1, 2) if run >= 3 else (run,))]
-            after: dict[tuple, tuple[float, str]] = {}
-            for state, (score, path) in states.items():
-                for option in options:
+            letters = CHANNEL.get(written[k], written[k])
+            if spaced:
+                splits = [x for x in _SPLIT if (sum(x) <= run if run >= 3 else sum(x) == run)]
+                options = [o * x if not y else o * x + " " + o * y for o in letters for x, y in splits]
+                options += [" " + o for o in options] if k else []
+            else:
+                options = [o * n for o in letters for n in ((1, 2) if run >= 3 else (run,))]
+            coded = [(option, [_class_of(letter) for letter in option]) for option in options]
+            after: dict[tuple, tuple[float, tuple | None]] = {}
+            for state, (score, way) in states.items():
+                for option, classes in coded:
                     s, total = state, score
-                    for letter in option:
-                        c = _class_of(letter)
+                    for c in classes:
                         total += float(self.model[s[0], s[1], s[2], c])
                         s = (s[1], s[2], c)
-                    if s not in after or (total, option) > (after[s][0], ""):
-                        after[s] = (total, path + option)
+                    if s not in after or total >= after[s][0]:
+                        after[s] = (total, (way, option))
             states, k = after, k + run
-        return max((score + float(self.model[s[0], s[1], s[2], 0]), path) for s, (score, path) in states.items())[1]
+        way = max((score + float(self.model[s[0], s[1], s[2], 0]), n, way) for n, (s, (score, way)) in enumerate(states.items()))[2]
+        out = []
+        while way is not None:
+            way, option = way
+            out.append(option)
+        return "".join(reversed(out))
+
+    def spelt(self, text: str) -> Iterator[str]:
+        """What the spaced passages of a lower-case text spell, with word breaks and as one word."""
+        for m in _SPACED.finditer(text):
+            units = _BETWEEN.sub("", m[0]).rstrip("!|+")
+            if len(units) > 3:
+                yield from self.viterbi(units, spaced=True).split()
+                yield self.viterbi(units)
 
     def words(self, token: str) -> tuple[str, ...]:
         """The restored words of one lower-case token."""
@@ -127,7 +153,8 @@ class Decoder:
         lead = token[: len(token) - len(token.lstrip(_MARKS))]
         out = set()
         if _DOTTED.match(core):
-            out.add(self.viterbi(re.sub(r"[.\-_*]", "", core)))
+            units = _BETWEEN.sub("", core)
+            out.update((self.viterbi(units), self.viterbi(units, spaced=True)))
         if lead[-1:] in CHANNEL and core:
             out.add(self.viterbi(lead[-1] + core) if len(core) < 40 else core)
         tail = token[len(lead) + len(core) :]
@@ -147,9 +174,8 @@ class Decoder:
         out: set[str] = set()
         for token in tokens:
             out.update(self.words(token))
-        if sum(1 for t in tokens if len(t) == 1) > 2:
-            for m in _SPACED.finditer(low):
-                out.update(_LETTERS.findall(self.viterbi(re.sub(r"[ .\-_*]", "", m[0])[:200])))
+        for word in self.spelt(low):
+            out.update(_LETTERS.findall(word))
         return out
 
 
@@ -270,7 +296,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Tokens that are oddly written, spaced or stretched are decoded by Viterbi under a character
-    model of the whole corpus. The score is a logistic one over a text's distinct restored words
+    model of the whole corpus; passages of four or more single characters also into words. The score is a logistic one over a text's distinct restored words
     and their beginnings, CANDIDATES features, fitted on at most LABELLED labelled documents
     outside the held-out third, copies once.
 
@@ -309,6 +335,5 @@ def _tokens(text: str, dec: Decoder) -> set[str]:
     if not low.isascii():
         low = _HIDDEN.sub("", low)
     tokens = set(low.split())
-    if sum(1 for t in tokens if len(t) == 1) > 2:
-        tokens.update(dec.viterbi(re.sub(r"[ .\-_*]", "", m[0])[:200]) for m in _SPACED.finditer(low))
+    tokens.update(dec.spelt(low))
     return tokens
