@@ -18,7 +18,8 @@ from .shingle_join import shingle_hashes
 
 #: Most labelled documents that the lexicon is fitted on, by a hash of doc_id; most of its candidates.
 LABELLED, CANDIDATES = 20_000, 500
-CACHE_WORDS = 100_000
+#: What a worker keeps of tokens that it has decoded: so many, of so many characters at most. Longer ones are decoded each time.
+CACHE_WORDS, CACHE_LENGTH = 100_000, 100
 #: Character classes: 0 for what is no letter, 1 to 26, 27 for bytes of other letters.
 CLASSES, ORDER = 28, 4
 #: What a written character may stand for.
@@ -145,7 +146,9 @@ class Decoder:
         if found is None:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
-            self.cache[token] = found = self._words(token)
+            found = self._words(token)
+            if len(token) <= CACHE_LENGTH:
+                self.cache[token] = found
         return found
 
     def _words(self, token: str) -> tuple[str, ...]:
@@ -156,11 +159,11 @@ class Decoder:
             units = _BETWEEN.sub("", core)
             out.update((self.viterbi(units), self.viterbi(units, spaced=True)))
         if lead[-1:] in CHANNEL and core:
-            out.add(self.viterbi(lead[-1] + core) if len(core) < 40 else core)
+            out.add(self.viterbi(lead[-1] + core))
         tail = token[len(lead) + len(core) :]
-        if tail[:1] in ("$", "@") and core and len(core) < 40 and len(tail) < 3:
-            out.add(self.viterbi(core + tail))
-        if core and len(core) < 40 and (_ODD.search(core) or _RUN.search(core)) and any(c.isalpha() for c in core):
+        if tail[:1] in ("$", "@") and core:
+            out.add(self.viterbi(core + tail[: len(tail) - len(tail.lstrip("$@"))]))
+        if core and (_ODD.search(core) or _RUN.search(core)) and any(c.isalpha() for c in core):
             out.add(self.viterbi(core))
         out.update(_LETTERS.findall(core))
         return tuple(sorted({w for o in out for w in _LETTERS.findall(o)}))
@@ -278,8 +281,9 @@ class Scorer:
             if worth:
                 self.worth[w] = worth
                 found.append(w)
-        self.telling[token] = tuple(found)
-        return self.telling[token]
+        if len(token) <= CACHE_LENGTH:
+            self.telling[token] = tuple(found)
+        return tuple(found)
 
     def score(self, text: str) -> float:
         hits: dict[str, float] = {}
@@ -296,7 +300,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Tokens that are oddly written, spaced or stretched are decoded by Viterbi under a character
-    model of the whole corpus; passages of four or more single characters also into words. The score is a logistic one over a text's distinct restored words
+    model of the whole corpus; passages of four or more single characters also into words.
+    Tokens and passages of any length are decoded whole. The score is a logistic one over a text's distinct restored words
     and their beginnings, CANDIDATES features, fitted on at most LABELLED labelled documents
     outside the held-out third, copies once.
 

@@ -22,3 +22,12 @@ def test_spaced_passages_have_word_breaks():
     for text, word in {"a s t u p i d": "stupid", "el y t o n t o": "tonto", "y o u i d i o t": "idiot", "s. t. u. p. i. d.": "stupid", "b o o b": "boob", "y.o.u.i.d.i.o.t": "idiot", "a s t u u u u p i d": "stupid"}.items():
         assert word in restored(text), text
     assert not restored("| " * 50_000)
+
+
+def test_no_length_hides_a_word():
+    restored = toxicity.Decoder(MODEL).restore
+    assert "stupid" in restored("st" + "u" * 500 + "pid")
+    assert "stupid" in restored("a " * 300 + "s t u p i d")
+    assert any("idiot" in w for w in restored("the-boob-and-a-stupid-man-you-are-a-stupid-1d10t"))
+    assert "stupid" in toxicity.Scorer(MODEL, {"=stupid": 1.0}, 0.0)._learn("st" + "u" * 500 + "pid")
+    assert any(w.startswith("idiots") for w in restored("idiot$$$$"))
