@@ -15,12 +15,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id. Texts
-    without words are linked with nothing and stay; of rows that repeat one stays."""
-    found = shingle_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    # a doc_id stands once, whatever its rows say
-    return kept.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    """One row of each group of near copies stays, the one with the smallest doc_id, a null one
+    last. Rows are told apart by a hash of all their columns, so a doc_id may be null or stand for
+    several texts. Texts without words are linked with nothing and stay; of rows that repeat in
+    full one stays."""
+    rows = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = shingle_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")).distinct()
+    named = rows.select("__row", "doc_id").distinct().join(found, "__row")
+    first = named.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("x"))
+    kept = rows.join(first.select("x.__row").distinct(), "__row", "left_semi").drop("__row")
+    return kept.dropDuplicates() if rows.groupBy("__row").count().where("count > 1").limit(1).count() else kept
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

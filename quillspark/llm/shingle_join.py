@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         fresh = settle(fresh.join(heads.select("nid", "doc_id"), "nid"), "join-fresh")
         if n := fresh.count():
             wanted = spark.sparkContext.broadcast(_wanted_bits(fresh, n))
-            more = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(fresh, ["nid", "doc_id"], "left_semi")
+            more = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(fresh.select("nid"), "nid", "left_semi")
             sets.append(settle(more.groupBy("nid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "join-sets"))
 
     def all_sets() -> DataFrame:

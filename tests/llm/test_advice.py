@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillspark.llm import toxicity
+import corpus_pipeline
+from quillspark.llm import shingle_join, toxicity
 
 
 def character_counts(text):
@@ -31,3 +32,25 @@ def test_no_length_hides_a_word():
     assert any("idiot" in w for w in restored("the-boob-and-a-stupid-man-you-are-a-stupid-1d10t"))
     assert "stupid" in toxicity.Scorer(MODEL, {"=stupid": 1.0}, 0.0)._learn("st" + "u" * 500 + "pid")
     assert any(w.startswith("idiots") for w in restored("idiot$$$$"))
+
+
+def told(k, n=60):
+    return [f"w{k}x{i}" for i in range(n)]
+
+
+def test_null_ids_are_links(spark):
+    a = told(0)
+    b, c = [*told(1, 4), *a[4:]], [*told(1, 4), *a[4:-4], *told(2, 4)]
+    rows = [(5, " ".join(a)), (None, " ".join(b)), (7, " ".join(c))]
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, None: 5, 7: 5}
+
+
+def test_pipeline_keeps_unrelated_texts(spark):
+    near = [*told(9)[:-2], "other", "end"]
+    rows = [(None, " ".join(told(k)), "a") for k in range(6)] + [(1, " ".join(told(7)), "a"), (1, " ".join(told(8)), "a")]  # unrelated
+    rows += [(None, None, "a"), (None, None, "b"), (2, "", "a"), (2, None, "a")]  # without words
+    one = [(4, " ".join(told(9)), "a"), (3, " ".join(near), "b"), (None, " ".join(near), "c"), (3, " ".join(near), "b")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows + one, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*rows, one[1]]))
