@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from quillspark.llm import shingle_join, toxicity
+from quillspark.llm import pii, shingle_join, toxicity
 
 
 def character_counts(text):
@@ -54,3 +54,17 @@ def test_pipeline_keeps_unrelated_texts(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows + one, "doc_id long, text string, source string"), "")
     assert got.columns == ["doc_id", "text", "source"]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*rows, one[1]]))
+
+
+def test_items_side_by_side_are_found(spark):
+    card, next_card, phone, ip = "4111111111111111", "5500000000000004", "+1 (826) 555-4081", "190.137.223.204"
+    rows = [f"paid {card} {next_card} now", f"call {phone} {ip} ok", f"paid 1234 4111 1111 1111 1111 {next_card} now", "write to jane.doe (at) mail (dot) example (dot) com soon"]
+    noise = [f"order {k} of {1000003 * k} {1000000007 * k} with {k % 97:02d} {k:04d} {k * 7919:09d} parts" for k in range(1, 60)]
+    docs = spark.createDataFrame(list(enumerate(rows * 20 + noise)), "doc_id long, text string")
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.scan(docs).where("doc_id < 4").collect()}
+    for k, items in enumerate([[card, next_card], [phone, ip], ["4111 1111 1111 1111", next_card], ["jane.doe (at) mail (dot) example (dot) com"]]):
+        for item in items:
+            at = rows[k].index(item)
+            assert any(x.endswith(f":{at}:{at + len(item)}") for x in got[k]), (item, got[k])
+    clean = [r.text for r in pii.redact(docs).where("doc_id < 4").orderBy("doc_id").collect()]
+    assert not any(x in t for t in clean for x in (card, next_card, "555-4081", "1111 1111", "jane.doe"))
