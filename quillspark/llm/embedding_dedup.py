@@ -18,6 +18,8 @@ SAMPLE, SHARD, SHARDS, OVERLAP = 20_000, 800, 4096, 3
 DEGREE, CANDIDATES, SLACK, BEAM, QUERIES = 24, 48, 1.2, 24, 256
 #: Queries of the audit, and the recall below which the search is repeated with twice the width.
 AUDIT, RECALL = 256, 0.95
+#: Recall below which the result is not given out, audited queries with links that are enough, and most queries drawn for them.
+LEAST, ENOUGH, MOST = 0.9, 64, 16_384
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -209,9 +211,21 @@ def _search(classes: DataFrame, dims: int, centroids, overlap: int, limit: float
     return settle(rows.groupBy("shard").applyInArrow(search, "u long, v long, linked boolean"), "graph-links")
 
 
-def audit(classes: DataFrame, links: DataFrame, dims: int, limit: float) -> float:
-    """Share of the links of AUDIT classes, chosen by a hash, that were found, by brute force."""
-    drawn = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).select("id", "x").toArrow()
+def audit(classes: DataFrame, links: DataFrame, dims: int, limit: float) -> tuple[float | None, float | None]:
+    """(the mean over classes with links of the share of a class's links that were found, the share of
+    all their links), by brute force. Classes are drawn by a hash, AUDIT at first and four times as many while fewer than
+    ENOUGH of them have links, MOST at most; None if none has."""
+    drawn = AUDIT
+    while True:
+        n, *recall = _audited(classes, links, dims, limit, drawn)
+        if n >= ENOUGH or drawn >= MOST or drawn >= classes.count():
+            return tuple(recall)
+        drawn *= 4
+
+
+def _audited(classes: DataFrame, links: DataFrame, dims: int, limit: float, queries: int):
+    """(classes with links among so many, the mean share of their links that was found, the share of all)."""
+    drawn = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(queries).select("id", "x").toArrow()
     asked, q = drawn.column("id").to_numpy(), _matrix(drawn.column("x").combine_chunks(), dims)
     sent = classes.sparkSession.sparkContext.broadcast((asked, q))
 
@@ -222,11 +236,11 @@ def audit(classes: DataFrame, links: DataFrame, dims: int, limit: float) -> floa
             a, b = np.nonzero(_matrix(batch.column(1), dims) @ q.T >= limit)
             other = ids[a] != asked[b]
             u, v = ids[a[other]], asked[b[other]]
-            yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v), "q": v})
 
-    true = classes.select("id", "x").mapInArrow(run, "u long, v long").distinct()
-    n, hit = true.join(links.withColumn("hit", F.lit(1)), ["u", "v"], "left").agg(F.count("*"), F.count("hit")).first()
-    return hit / n if n else 1.0
+    true = classes.select("id", "x").mapInArrow(run, "u long, v long, q long")
+    told = true.join(links.withColumn("hit", F.lit(1)), ["u", "v"], "left").groupBy("q").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
+    return told.agg(F.count("*"), F.avg(F.col("hit") / F.col("n")), F.sum("hit") / F.sum("n")).first()
 
 
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -237,8 +251,9 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     shard builds a robust-pruned graph; adjacency lists are united; in its home shard, whose lists
     reach into the others where those found it near vectors, each class is searched for from the
     medoid, range-expanding. Every link
-    is checked in double precision. A brute-force audit of AUDIT classes measures recall; below
-    RECALL the search is done again with twice the overlap and beam.
+    is checked in double precision. A brute-force audit measures recall by class and by link; with either
+    below RECALL the search is done again with twice the overlap and beam, the links of all rounds together. Less
+    than LEAST by class after the third is an error.
 
     Null, zero and non-finite vectors, those with null parts and those of another length than most
     have no links and are kept. Rows that repeat a vec_id are linked rows. An empty table gives an
@@ -261,13 +276,17 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     sample = _matrix(drawn.column("x").combine_chunks(), dims)
     k = int(max(1, min(SHARDS, n // SHARD, len(sample) // 4)))
     centroids = spark.sparkContext.broadcast(_centroids(sample, k))  # SHARDS rows at most
-    overlap, beam = OVERLAP, BEAM
+    overlap, beam, found = OVERLAP, BEAM, None
     for _ in range(3):
-        found = _search(classes, dims, centroids, overlap, limit, beam)
+        more = _search(classes, dims, centroids, overlap, limit, beam)
+        found = more if found is None else found.union(more)
         links = settle(found.where("linked").select("u", "v").distinct(), "graph-pairs")
-        if audit(classes, links, dims, limit) >= RECALL:
+        recall, of_all = audit(classes, links, dims, limit)
+        if recall is None or min(recall, of_all) >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    if recall is not None and recall < LEAST:
+        raise RuntimeError(f"the search found {recall:.3f} of the links of audited vectors, less than {LEAST}")
     labels = components(found.where("not linked").select("u", "v").union(links.join(found.where("not linked").select(F.col("u").alias("v")).distinct(), "v", "left_anti").select("u", "v")))
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     reach = both.join(classes.select(F.col("id").alias("v"), "m"), "v").groupBy("u").agg(F.sum("m").alias("others"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from quillspark.llm import pii, shingle_join, toxicity
+from quillspark.llm import embedding_dedup, pii, shingle_join, toxicity
 
 
 def character_counts(text):
@@ -68,3 +69,15 @@ def test_items_side_by_side_are_found(spark):
             assert any(x.endswith(f":{at}:{at + len(item)}") for x in got[k]), (item, got[k])
     clean = [r.text for r in pii.redact(docs).where("doc_id < 4").orderBy("doc_id").collect()]
     assert not any(x in t for t in clean for x in (card, next_card, "555-4081", "1111 1111", "jane.doe"))
+
+
+def test_recall_guard_raises(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 8))
+    rows = [(k, [float(y) for y in base[k % 20] + 0.001 * rng.normal(size=8)]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_duplicates(docs).where("n_links >= 2").count() == 60
+    search = embedding_dedup._search
+    monkeypatch.setattr(embedding_dedup, "_search", lambda *a: search(*a).limit(0))
+    with pytest.raises(RuntimeError):
+        embedding_dedup.near_duplicates(docs)
