@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import released, settle
 from .components import components
 
 LIMIT = 0.9
@@ -149,7 +149,7 @@ def _assign(classes: DataFrame, dims: int, centroids, overlap: int) -> DataFrame
             shard = near.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(shard == first[row]), *[batch.column(j).take(pa.array(row)) for j in range(2)]], names=["shard", "home", "id", "x"])
 
-    return classes.select("id", "x").mapInArrow(run, "shard int, home boolean, id long, x array<double>")
+    return classes.select("id", "x").mapInArrow(released(run), "shard int, home boolean, id long, x array<double>")
 
 
 def _search(classes: DataFrame, dims: int, centroids, overlap: int, limit: float, beam: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _audited(classes: DataFrame, links: DataFrame, dims: int, limit: float, quer
             u, v = ids[a[other]], asked[b[other]]
             yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v), "q": v})
 
-    true = classes.select("id", "x").mapInArrow(run, "u long, v long, q long")
+    true = classes.select("id", "x").mapInArrow(released(run), "u long, v long, q long")
     told = true.join(links.withColumn("hit", F.lit(1)), ["u", "v"], "left").groupBy("q").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
     return told.agg(F.count("*"), F.avg(F.col("hit") / F.col("n")), F.sum("hit") / F.sum("n")).first()
 

@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Pre-tokens of a leaf; bound of a worker's cache, in pre-tokens.
 LEAF, CACHE = 32, 300_000
 
@@ -163,7 +165,7 @@ def recount(docs: DataFrame, path: str | None = None, pattern: str | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out]], names=["doc_id", "n_tokens_before", "n_edits", "n_chars", "n_tokens", "reencoded_chars"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, f"doc_id {kind}, n_tokens_before long, n_edits long, n_chars long, n_tokens long, reencoded_chars long")
+    return docs.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(released(run), f"doc_id {kind}, n_tokens_before long, n_edits long, n_chars long, n_tokens long, reencoded_chars long")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

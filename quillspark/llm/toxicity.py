@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import in_fold, settle
+from .common import in_fold, released, settle
 from .shingle_join import shingle_hashes
 
 #: Most labelled documents that the lexicon is fitted on, by a hash of doc_id; most of its candidates.
@@ -69,7 +69,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": [x.tobytes()]})
 
     tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 8)
-    found = docs.select("text").coalesce(tasks).mapInArrow(count, "part int, sums binary").repartition(parts, "part").mapInArrow(merge, "part int, sums binary").collect()
+    found = docs.select("text").coalesce(tasks).mapInArrow(released(count), "part int, sums binary").repartition(parts, "part").mapInArrow(released(merge), "part int, sums binary").collect()
     sums = np.zeros(cells)
     for k, raw in found:
         sums[k * width : (k + 1) * width] += np.frombuffer(raw, "<i8")
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array([int(y) for y in batch.column(2).to_pylist()], pa.int32()), pa.array(least, pa.int64())], names=["words", "toxic", "least"])
 
     # copies and most near copies have the same least shingle; they count once
-    restored = settle(sample.mapInArrow(words, "words array<string>, toxic int, least long").dropDuplicates(["least", "toxic"]), "toxic-words")
+    restored = settle(sample.mapInArrow(released(words), "words array<string>, toxic int, least long").dropDuplicates(["least", "toxic"]), "toxic-words")
 
     def count(batches):
         sums = Counter()
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
         yield out()
 
     toxic = F.col("toxic") == 1
-    counts = restored.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("n0"))
+    counts = restored.mapInArrow(released(count), "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("n0"))
     bad, all_ = restored.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     expected = (F.col("n1") + F.col("n0")) * (bad / max(1, all_))
     names = [r[0] for r in counts.where((F.col("n1") >= 3) & (F.col("n1") > 1.5 * expected)).orderBy(F.desc((F.col("n1") - expected) / F.sqrt(expected + 1.0)), "feature").limit(CANDIDATES).collect()]
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
             found = [[f for w in ws for f in features(w) if f in wanted] for ws in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"found": pa.array(found, pa.list_(pa.string())), "toxic": pa.array(batch.column(1).to_pylist(), pa.int32())})
 
-    rows = [(Counter(r[0]), r[1]) for r in restored.mapInArrow(pick, "found array<string>, toxic int").collect()]
+    rows = [(Counter(r[0]), r[1]) for r in restored.mapInArrow(released(pick), "found array<string>, toxic int").collect()]
     weights, intercept = _fit(rows, names) if 0 < bad < all_ else ({}, -4.6)
     return model, weights, intercept
 
@@ -318,7 +318,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     asked = docs.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "text")
-    return asked.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return asked.mapInArrow(released(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t or "") < 0.7 for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def _tokens(text: str, dec: Decoder) -> set[str]:
