@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import settle
+from .common import released, settle
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -19,8 +19,10 @@ WIDTH, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_ROWS = 24, 64
 #: Hashes below this, three eighths of all, are counted and come first in the order.
 COUNTED = np.uint64(3 << 61)
-#: Most members of a group whose pairs are listed, and sets in a block beyond that.
+#: Most members of a group whose pairs are listed, and nodes in a block beyond that.
 SMALL, BLOCK = 32, 256
+#: Least and most cells of a set's outline.
+CELLS = 64, 1 << 16
 #: Most bits of the filter that says which documents are read again.
 FILTER_BITS = 1 << 27
 
@@ -80,9 +82,9 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes()], pa.binary())})
 
     tasks = max(2 * spark.sparkContext.defaultParallelism, 8)
-    found = docs.select("text").coalesce(tasks).mapInArrow(count, "part int, sums binary")
+    found = docs.select("text").coalesce(tasks).mapInArrow(released(count), "part int, sums binary")
     levels = np.zeros(cells, np.uint8)
-    for k, raw in found.repartition(SKETCH_ROWS, "part").mapInArrow(merge, "part int, sums binary").toLocalIterator():
+    for k, raw in found.repartition(SKETCH_ROWS, "part").mapInArrow(released(merge), "part int, sums binary").toLocalIterator():
         levels[k * part : (k + 1) * part] = np.frombuffer(raw, np.uint8)
     usual = max(1.0, 2 ** (float(np.median(levels)) / 8) - 1)
     chance = 8 * np.log2(usual + 4 * usual**0.5 + 1)
@@ -106,39 +108,81 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(docs: DataFrame, classes, width: int, percent: int, whole: bool, wanted=None) -> DataFrame:
-    """(doc_id, n, nid, keys): keys are the prefix, or the whole ordered set."""
+def outline(s: np.ndarray) -> np.ndarray:
+    """How many elements of a set fall into each of so many cells as it has elements, roughly: a byte a
+    cell, by the low bits of the hashes, so that halves folded together are the outline of half the cells."""
+    cells = min(CELLS[1], max(CELLS[0], 1 << int(len(s) - 1).bit_length()))
+    return np.minimum(255, np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
+
+
+def _folded(x: np.ndarray, cells: int) -> np.ndarray:
+    """Outlines, one a row, over fewer cells."""
+    while x.shape[-1] > cells:
+        half = x.shape[-1] // 2
+        x = np.minimum(255, x[..., :half].astype(np.uint16) + x[..., half:]).astype(np.uint8)
+    return x
+
+
+def may_reach(one: np.ndarray, n: int, many: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which of many outlines may belong to sets that reach the threshold with this one's: no more
+    elements can be common than the smaller counts of the cells say. Full cells say nothing."""
+    cells = min(one.shape[-1], many.shape[-1])
+    one, many = _folded(one, cells), _folded(many, cells)
+    both = np.minimum(one, many)
+    most = both.sum(axis=1, dtype=np.int64)
+    alike = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+    return alike & (((100 + percent) * most >= percent * (n + sizes)) | (both == 255).any(axis=1))
+
+
+def _arrays(lists: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in lists])]).astype(np.int32), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _nid(s: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
+
+
+def _prefixes(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, nid, keys, cells): the size, name, prefix and outline of each document's set. Of
+    equal sets that one task meets the first alone has the prefix."""
 
     def run(batches):
-        table = classes.value
-        bits = wanted.value if wanted is not None else None
+        table, seen = classes.value, set()  # a task reads one split
         for batch in batches:
-            ids = batch.column(0)
-            texts = wordhash.texts_of(batch.column(1))
-            keep = list(range(len(texts)))
-            if bits is not None:
-                at = (batch.column(2).to_numpy(zero_copy_only=False) % (8 * len(bits))).astype(np.int64)
-                keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
-                texts = [texts[k] for k in keep]
-            n, nid, keys = [], [], []
-            for h in shingle_hashes(texts, width):
+            n, nid, keys, cells = [], [], [], []
+            for h in shingle_hashes(wordhash.texts_of(batch.column(1)), width):
                 s = ordered_set(h, table)
                 n.append(len(s))
-                nid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-                keys.append(_signed(s if whole else s[: prefix_length(len(s), percent)] if len(s) else s))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(nid, pa.int64()), lists], names=["doc_id", "n", "nid", "keys"])
+                nid.append(_nid(s))
+                keys.append(_signed(s[: prefix_length(len(s), percent)] if len(s) and nid[-1] not in seen else s[:0]))
+                seen.add(nid[-1])
+                cells.append(outline(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nid, pa.int64()), _arrays(keys), pa.array(cells, pa.binary())], names=["doc_id", "n", "nid", "keys", "cells"])
+
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, nid long, keys array<long>, cells binary")
+
+
+def _whole_sets(docs: DataFrame, classes, width: int, wanted) -> DataFrame:
+    """(nid, n, keys): the whole ordered sets of the documents that a bitmap of hashed ids holds."""
+
+    def run(batches):
+        table, bits = classes.value, wanted.value
+        for batch in batches:
+            at = (batch.column(1).to_numpy(zero_copy_only=False) % (8 * len(bits))).astype(np.int64)
+            keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            sets = [s for s in (ordered_set(h, table) for h in shingle_hashes(wordhash.texts_of(batch.column(0).take(pa.array(keep))), width)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_nid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _arrays([_signed(s) for s in sets])], names=["nid", "n", "keys"])
 
-    columns = ["doc_id", "text"] + ([F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at")] if wanted is not None else [])
-    return docs.select(*columns).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, nid long, keys array<long>")
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at")).mapInArrow(released(run), "nid long, n long, keys array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, nid) rows sorted by key: (key, nid, null) for keys of three rows or more, and for
-    keys of two the pair (null, a, b), each pair once a batch. Holds two rows over at most."""
+    """Of (key, nid) rows sorted by both, where rows may repeat: (key, nid, null) for keys of three
+    nodes or more, and for keys of two the pair (null, a, b), each pair once a batch. Holds two rows
+    over at most."""
     empty = np.zeros(0, np.int64)
-    held_key, held_nid, large = empty, empty, None
+    held_key, held_nid, large, last = empty, empty, None, None
 
     def out(keys, nids, pairs):
         k = pairs.shape[1]
@@ -148,7 +192,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
 
     for batch in batches:
-        key, nid = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in ((0, held_key), (1, held_nid)))
+        key, nid = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+        if not len(key):
+            continue
+        fresh = np.append(last != (key[0], nid[0]), (key[1:] != key[:-1]) | (nid[1:] != nid[:-1]))
+        last = key[-1], nid[-1]
+        key, nid = np.concatenate([held_key, key[fresh]]), np.concatenate([held_nid, nid[fresh]])
         if not len(key):
             continue
         start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
@@ -167,64 +216,77 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Trie:
     """A prefix tree walked along its sorted sequences: what two neighbours share is counted once,
-    and a branch ends as soon as what remains can't reach the overlap that is asked for. Sequences
-    may be first parts of sets of n elements; then the answer is whether the rest could reach it."""
+    and a branch ends as soon as what remains can't reach the overlap that is asked for."""
 
     BLOCK = 64
 
-    def __init__(self, probe: np.ndarray, n: int, percent: int = PERCENT):
-        self.probe, self.n, self.percent = probe, n, percent
+    def __init__(self, probe: np.ndarray, percent: int = PERCENT):
+        self.probe, self.percent = probe, percent
         self.path, self.counts = probe[:0], np.zeros(1, np.int64)
 
-    def reaches(self, s: np.ndarray, n: int) -> bool:
-        if 100 * min(self.n, n) < self.percent * max(self.n, n):
+    def reaches(self, s: np.ndarray) -> bool:
+        size, n = len(self.probe), len(s)
+        if 100 * min(size, n) < self.percent * max(size, n):
             return False
-        need = -(-self.percent * (self.n + n) // (100 + self.percent))
-        known = len(s) if len(self.probe) == self.n else int(np.searchsorted(s, self.probe[-1], side="right"))
-        m = min(len(self.path), known)
+        need = -(-self.percent * (size + n) // (100 + self.percent))
+        m = min(len(self.path), n)
         differ = np.flatnonzero(self.path[:m] != s[:m])
         depth = int(differ[0]) if len(differ) else m
         counts = [self.counts[: depth + 1]]
         have = int(counts[0][-1])
         passed = int(np.searchsorted(self.probe, s[depth - 1], side="right")) if depth else 0
-        while depth < known and have + min(n - depth, self.n - passed) >= need:
-            block = s[depth : min(known, depth + self.BLOCK)]
+        while depth < n and have + min(n - depth, size - passed) >= need:
+            block = s[depth : min(n, depth + self.BLOCK)]
             at = np.searchsorted(self.probe, block)
-            hit = np.cumsum(self.probe[np.minimum(at, len(self.probe) - 1)] == block)
+            hit = np.cumsum(self.probe[np.minimum(at, size - 1)] == block)
             counts.append(have + hit)
             passed = int(np.searchsorted(self.probe, block[-1], side="right"))
             have, depth = have + int(hit[-1]), depth + len(block)
         self.path, self.counts = s[:depth], np.concatenate(counts)
-        if depth == known and known < len(s):
-            passed = len(self.probe)
-        return depth == known and have + min(n - depth, self.n - passed) >= need
+        return depth == n and have >= need
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
-    """The (a, b) of pairs that reach the threshold, or may, if sets has first parts. A leader a
-    goes once to each of the salted groups of its partners, which arrive after it in the order of
-    the tree."""
+def _led(pairs: DataFrame, held: DataFrame, column: str, judge, salts: int = 16) -> DataFrame:
+    """The (a, b) of pairs that judge takes, a function of a leader that gives a function of its
+    partners. A leader a goes once to each of the salted groups of its partners, which arrive after it in
+    the order of column."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     ask = salted.select("a", "salt", F.col("b").alias("nid"), F.lit(1).alias("role")).union(salted.select("a", "salt", F.col("a").alias("nid"), F.lit(0).alias("role")).distinct())
-    rows = ask.join(sets.select("nid", "n", "keys"), "nid").select("a", "salt", "role", "nid", "n", "keys")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "keys")
+    rows = ask.join(held.select("nid", "n", column), "nid").select("a", "salt", "role", "nid", "n", column)
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", column)
 
     def run(batches):
-        at, trie = None, None
+        at, takes = None, None
         for batch in batches:
             a, salt, role, nid, n = (batch.column(c).to_pylist() for c in range(5))
-            lists, out = batch.column(5), [[], []]
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            data, out = batch.column(5), [[], []]
+            bounds = data.offsets.to_numpy() if column == "keys" else np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+            flat = data.values.to_numpy(zero_copy_only=False) if column == "keys" else np.frombuffer(data.buffers()[2] or b"", np.uint8)
             for k in range(len(a)):
-                s = flat[ends[k] : ends[k + 1]]
+                s = flat[bounds[k] : bounds[k + 1]]
                 if role[k] == 0:
-                    at, trie = (a[k], salt[k]), Trie(s.copy(), n[k], percent)
-                elif at == (a[k], salt[k]) and trie.reaches(s, n[k]):
+                    at, takes = (a[k], salt[k]), judge(s.copy(), n[k])
+                elif at == (a[k], salt[k]) and takes(s, n[k]):
                     out[0].append(a[k])
                     out[1].append(nid[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(released(run), "u long, v long")
+
+
+def _screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose outlines do not rule the threshold out."""
+    return _led(pairs, heads, "cells", lambda one, n: lambda s, m: may_reach(one, n, s[None], np.array([m]), percent)[0])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the threshold."""
+
+    def judge(one, n):
+        trie = Trie(one, percent)
+        return lambda s, m: trie.reaches(s)
+
+    return _led(pairs, sets, "keys", judge)
 
 
 def _wanted_bits(involved: DataFrame, n: int) -> np.ndarray:
@@ -239,16 +301,16 @@ def _wanted_bits(involved: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
-    few = involved.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at")).coalesce(8).mapInArrow(run, "bits binary")
+    few = involved.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at")).coalesce(8).mapInArrow(released(run), "bits binary")
     for row in few.toLocalIterator():
         out |= np.frombuffer(row[0], np.uint8)
     return out
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """The links (u, v) between members of one group (key, m, nid, comp) and different components.
-    Members whose largest group is the same make blocks of about block sets, which are indexed; a probe
-    meets all sets of a block at once. Whoever is not of a group's largest component goes to every
+def _block_pairs(rest: DataFrame, heads: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) of members of one group (key, m, nid, comp) and different components whose outlines do
+    not rule the threshold out. Members whose largest group is the same make blocks of about block
+    nodes; a probe meets all outlines of a block at once. Whoever is not of a group's largest component goes to every
     block that holds one of the group."""
     sizes = rest.select("nid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
     of = rest.groupBy("nid", "comp").agg(F.max(F.struct("m", "key")).alias("h")).select("nid", "comp", F.col("h.key").alias("home"))
@@ -260,41 +322,35 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) ->
     asking = rest.join(main, "key").where("comp <> main").select("key", "nid", "comp").join(held, "key")
     asking = asking.groupBy("nid", "comp").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at")).select("nid", "comp", F.explode("at").alias("x")).select("nid", "comp", "x.home", "x.block")
     rows = at.select("nid", "comp", "home", "block", F.lit(0).alias("role")).unionByName(asking.withColumn("role", F.lit(1)))
-    rows = rows.join(sets.select("nid", "n", "keys"), "nid").select("home", "block", "role", "nid", "comp", "n", "keys")
+    rows = rows.join(heads.select("nid", "n", "cells"), "nid").select("home", "block", "role", "nid", "comp", "n", "cells")
     rows = rows.repartition("home", "block").sortWithinPartitions("home", "block", "role", "nid")
 
     def run(batches):
         at, held, index = None, [], None
         for batch in batches:
-            home, blk, role, nid, comp, n = (batch.column(c).to_pylist() for c in range(6))
-            lists, out = batch.column(6), [[], []]
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            home, blk, role, nid, comp, n, cells = (batch.column(c).to_pylist() for c in range(7))
+            out = [[], []]
             for k in range(len(nid)):
-                keys = flat[ends[k] : ends[k + 1]]
                 if at != (home[k], blk[k]):
                     at, held, index = (home[k], blk[k]), [], None
                 if role[k] == 0:
-                    held.append((nid[k], comp[k], n[k], keys.copy()))
+                    held.append((nid[k], comp[k], n[k], np.frombuffer(cells[k], np.uint8)))
                     continue
                 if not held:
                     continue
                 if index is None:
-                    token = np.concatenate([x[3] for x in held])
-                    owner = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
-                    order = np.argsort(token, kind="stable")
-                    index = token[order], owner[order], np.array([x[2] for x in held]), np.array([x[1] for x in held]), np.array([x[0] for x in held])
-                token, owner, sizes, comps, ids = index
-                lo, hi = np.searchsorted(token, keys), np.searchsorted(token, keys, side="right")
-                count = hi - lo
-                spots = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-                both = np.bincount(owner[spots], minlength=len(sizes))
-                hit = np.flatnonzero((100 * both >= percent * (sizes + n[k] - both)) & (comps != comp[k]))
-                hit = hit[np.unique(comps[hit], return_index=True)[1]]  # one link for each component
-                out[0] += [nid[k]] * len(hit)
-                out[1] += ids[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
+                    index = [(np.stack([x[3] for x in held if len(x[3]) == c]), *(np.array([x[j] for x in held if len(x[3]) == c]) for j in range(3))) for c in sorted({len(x[3]) for x in held})]
+                one = np.frombuffer(cells[k], np.uint8)
+                for many, ids, comps, sizes in index:
+                    hit = np.flatnonzero(comps != comp[k])
+                    hit = hit[100 * np.minimum(n[k], sizes[hit]) >= percent * np.maximum(n[k], sizes[hit])]
+                    if len(hit):
+                        hit = hit[may_reach(one, n[k], many[hit], sizes[hit], percent)]
+                    out[0] += np.minimum(ids[hit], nid[k]).tolist()
+                    out[1] += np.maximum(ids[hit], nid[k]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -304,13 +360,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     1. A sketch over all texts gives each shingle a frequency class, and so a global order.
     2. Equal sets are one node. Nodes meet in the groups of the elements among their first
        n - ceil(t n) + 1 ones; two nodes that reach the threshold share such a group.
-    3. Pairs that alone share an element are compared. In each larger group the member whose prefix meets others most, which is what copies were made
-       from, is compared with all others: a group of near copies costs one comparison each.
+    3. Pairs that alone share an element are compared. In each larger group the member whose prefix
+       meets others most, which is what copies were made from, is compared with all others: a group
+       of near copies costs one comparison each.
     4. Then pairs that no chain of links joins yet are compared, for no other link changes a
-       component: in groups of SMALL members at most pair by pair, and in larger ones by blocks. Every pair that could join two components is compared.
-    Comparing pairs walks the partners' ordered sets as a prefix tree (Trie): first their prefixes
-    alone, then the whole sets of those that can still reach the threshold, made from the texts
-    again.
+       component: in groups of SMALL members at most pair by pair, and in larger ones by blocks.
+       Every pair that could join two components is compared.
+    A pair is compared by outlines first, counts of elements by cell, which bound what can be
+    common. For those that are left the whole sets are made from the texts again, and the partners'
+    ordered sets are walked as a prefix tree (Trie).
 
     Null and empty texts: n_shingles 0, component_id the own doc_id. Repeated rows are rows of one
     node. A null doc_id stays null unless linked to others. An empty table gives an empty result.
@@ -318,18 +376,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, width))  # 1 byte a cell
-    firsts = settle(_sets(docs, classes, width, percent, whole=False), "join-prefixes")
-    nodes = firsts.where("nid is not null").groupBy("nid").agg(F.first("keys").alias("keys"))
-    postings = nodes.select(F.explode("keys").alias("key"), "nid").repartition("key").sortWithinPartitions("key")
-    met = settle(postings.mapInArrow(_shared, "key long, nid long, other long"), "join-groups")
+    firsts = settle(_prefixes(docs, classes, width, percent), "join-prefixes")
+    postings = firsts.select(F.explode("keys").alias("key"), "nid").repartition("key").sortWithinPartitions("key", "nid")
+    met = settle(postings.mapInArrow(released(_shared), "key long, nid long, other long"), "join-groups")
     shared, two = met.where("key is not null").select("key", "nid"), met.where("key is null").select("nid", "other").distinct()
-    # for screening the upper halves of the keys do: equal keys stay equal and in order
-    short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
     often = met.where("key is not null").select("nid").union(two.select("nid")).union(two.select("other")).groupBy("nid").agg(F.count("*").alias("met"))
-    heads = firsts.join(often, "nid").groupBy("nid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("met").alias("met"))
-    heads = settle(heads.select("nid", "n", "doc_id", short.alias("keys"), (F.col("met") / F.size("keys")).alias("central")), "join-heads")
+    heads = firsts.select("nid", "n", "doc_id", "cells", (F.col("n") + F.floor(F.col("n") * F.lit(-percent) / 100) + 1).alias("prefix")).join(often, "nid").groupBy("nid")
+    heads = heads.agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"), F.first(F.col("met") / F.col("prefix")).alias("central"))
+    heads = settle(heads, "join-heads")
     if heads.isEmpty():
-        return firsts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        classes.destroy()
+        return _labelled(firsts, None)
     order = W.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("nid"), "nid")
     groups = settle(shared.join(heads.select("nid", "n", "central"), "nid").withColumn("rank", F.row_number().over(order)).withColumn("m", F.max("rank").over(W.partitionBy("key"))).drop("central"), "join-ranked")
     sets: list[DataFrame] = []
@@ -342,19 +399,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         fresh = settle(fresh.join(heads.select("nid", "doc_id"), "nid"), "join-fresh")
         if n := fresh.count():
             wanted = spark.sparkContext.broadcast(_wanted_bits(fresh, n))
-            more = _sets(docs, classes, width, percent, whole=True, wanted=wanted).join(fresh.select("nid"), "nid", "left_semi")
+            more = _whole_sets(docs, classes, width, wanted).join(fresh.select("nid"), "nid", "left_semi")
             sets.append(settle(more.groupBy("nid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "join-sets"))
+            wanted.destroy()
 
-    def all_sets() -> DataFrame:
-        out = sets[0]
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of nodes that outlines do not rule out."""
+        gather(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")))
+        if not sets:
+            return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        every = sets[0]
         for more in sets[1:]:
-            out = out.union(more)
-        return out
+            every = every.union(more)
+        return settle(_verified(pairs, every, percent), "join-links")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        maybe = settle(_verify(settle(pairs, "join-pairs"), heads, percent), "join-maybe")
-        gather(maybe.select(F.col("u").alias("nid")).union(maybe.select("v")))
-        return settle(_verify(maybe.select(F.col("u").alias("a"), F.col("v").alias("b")), all_sets(), percent), "join-links") if sets else maybe
+    def screened(pairs: DataFrame) -> DataFrame:
+        return settle(_screened(settle(pairs, "join-pairs"), heads, percent).select(F.col("u").alias("a"), F.col("v").alias("b")), "join-maybe")
 
     def still_open(groups: DataFrame, joined: DataFrame) -> DataFrame:
         comp = joined.withColumnsRenamed({"node": "nid", "component": "comp"})
@@ -365,18 +425,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     similar = "100 * least(n, na) >= %d * greatest(n, na)" % percent
     first = groups.where("rank = 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"))
     led = groups.where("rank > 1").join(first, "key").where(similar).select("a", F.col("nid").alias("b"))
-    joined = components(compared(led.union(two).distinct()))
+    joined = components(compared(screened(led.union(two).distinct())))
     edges = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
     few = still_open(groups.where(F.col("m") <= SMALL).select("key", "nid", "n", "rank"), joined)
     lead = few.where("rank > 1").select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
     pairs = few.where("rank > 2").join(lead, "key").where("rank > ra and comp <> ca and " + similar)
-    edges = edges.union(compared(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()))
+    edges = edges.union(compared(screened(pairs.select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct())))
     joined = components(edges)
     rest = still_open(groups.where(F.col("m") > SMALL).select("key", "m", "nid"), joined)
     if not rest.isEmpty():
-        gather(rest.select("nid"))
-        links = settle(_block_links(rest, all_sets(), percent, BLOCK), "join-links")
+        links = compared(settle(_block_pairs(rest, heads, percent, BLOCK), "join-maybe"))
         joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
-    labelled = firsts.select("doc_id", "n", "nid").join(joined.withColumnsRenamed({"node": "nid", "component": "comp"}), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    lowest = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return labelled.join(lowest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    classes.destroy()
+    return _labelled(firsts, joined)
+
+
+def _labelled(firsts: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(doc_id, n_shingles, component_id), the smallest doc_id by node first and then by component."""
+    names = firsts.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("low"))
+    if joined is not None:
+        comp = joined.withColumnsRenamed({"node": "nid", "component": "comp"})
+        linked = names.join(comp, "nid")
+        lowest = linked.groupBy("comp").agg(F.min("low").alias("lowest"))
+        names = names.join(comp.join(lowest, "comp").select("nid", "lowest"), "nid", "left").select("nid", F.coalesce("lowest", "low").alias("low"))
+    names = settle(names, "join-names")
+    return firsts.select("doc_id", "n", "nid").join(names, "nid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))

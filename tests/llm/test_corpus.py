@@ -369,10 +369,25 @@ def test_shared_runs_over_batches():
     for _ in range(60):
         rows = sorted((rng.randint(0, 12), k) for k in range(rng.randint(0, 40)))
         step = rng.randint(1, 7)
-        batches = [pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows[i : i + step]], pa.int64()), "nid": pa.array([r[1] for r in rows[i : i + step]], pa.int64())}) for i in range(0, len(rows), step)]
+        told = sorted(rows + rng.choices(rows, k=rng.randint(0, 20))) if rows else rows  # rows may repeat
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in told[i : i + step]], pa.int64()), "nid": pa.array([r[1] for r in told[i : i + step]], pa.int64())}) for i in range(0, len(told), step)]
         got = [tuple(r.values()) for b in shingle_join._shared(iter(batches)) for r in b.to_pylist()]
         by = {}
         for k, n in rows:
             by.setdefault(k, []).append(n)
         want = [(k, n, None) for k, v in by.items() if len(v) > 2 for n in v] + [(None, *sorted(v)) for v in by.values() if len(v) == 2]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_outlines_bound_what_is_common():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 59, 400).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        reaches = 100 * both >= 75 * (len(a) + len(b) - both)
+        may = shingle_join.may_reach(shingle_join.outline(a), len(a), shingle_join.outline(b)[None], np.array([len(b)]))[0]
+        assert may or not reaches
+        assert shingle_join.Trie(a.view(np.int64)).reaches(b.view(np.int64)) == reaches
+    full = np.full(64, 255, np.uint8)
+    assert shingle_join.may_reach(full, 40_000, full[None], np.array([40_000]))[0]
