@@ -36,6 +36,23 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     return per.select("source_key", "source", "source_size", F.coalesce(share, F.lit(0.0)).alias("target"), F.col("total").cast("long").alias("budget"))
 
 
+#: Columns that a row is told and measured by.
+_SIZED = ("__uid", "__id", "__source", "source_key", "size")
+
+
+def _sized(docs: DataFrame, *more) -> DataFrame:
+    """One row for each document with a number of its own, written once: what hangs on that number
+    then hangs on no plan."""
+    return settle(
+        docs.select(
+            F.monotonically_increasing_id().alias("__uid"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
+            F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), *more,
+        ),
+        "mix-sizes",
+    )
+
+
 def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 17, lanes: int = 1024) -> DataFrame:
     """Every copy of a document that the mix begins: (uid, doc_id, size, source_size, target,
     epoch, finish, taken, position), besides one row of epoch 0 for each other document.
@@ -50,12 +67,11 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int
     Null text: size 0, taken 0. Null source: a source of its own, the last. Rows that repeat are
     documents of their own. An empty table gives an empty result. Other columns are not read.
     """
-    d = docs.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "source",
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
-        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-    )
-    d = settle(d, "mix-sizes")  # texts are read once
+    return _schedule(_sized(docs), weights, max_epochs, seed, lanes).drop("source_key", "lane", "u")
+
+
+def _schedule(sized: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 17, lanes: int = 1024) -> DataFrame:
+    d = sized.select(F.col("__uid").alias("uid"), F.col("__id").alias("doc_id"), F.col("__source").alias("source"), "source_key", "size")
     d = d.withColumn("u", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("lane", F.pmod(F.shiftright("u", 20), F.lit(lanes)).cast("int"))
     targets = source_targets(d, weights, max_epochs).drop("source")
     in_lane = d.groupBy("source_key", "lane").agg(F.sum("size").alias("lane_size"))
@@ -74,7 +90,7 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int
     # what gets no words has no place in the order: it is dealt over all spans
     idle = F.pmod(F.xxhash64("uid"), F.lit(lanes)).cast("int")
     d = d.withColumn("span", F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * lanes), F.lit(lanes)).cast("int")).otherwise(idle))
-    d = d.select("uid", "doc_id", "size", "source_size", "target", "budget", "epoch", "finish", "words", "span")
+    d = d.select("uid", "doc_id", "source_key", "lane", "u", "size", "source_size", "target", "budget", "epoch", "finish", "words", "span")
     spans = d.groupBy("span").agg(F.sum("words").alias("span_words"))
     spans = spans.withColumn("span_start", F.sum("span_words").over(W.orderBy("span")) - F.col("span_words")).drop("span_words")
     served = W.partitionBy("span").orderBy("finish", "doc_id", "uid", "epoch").rowsBetween(W.unboundedPreceding, 0)
@@ -82,7 +98,7 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int
     d = d.withColumn("run", F.sum("words").over(served)).join(F.broadcast(spans), "span")
     position = F.col("run") + F.col("span_start") - F.col("words")
     taken = F.least(F.col("words"), F.greatest(F.lit(0), F.col("budget") - position))
-    return d.select("uid", "doc_id", "size", "source_size", "target", "epoch", "finish", taken.alias("taken"), position.alias("position"))
+    return d.select("uid", "doc_id", "source_key", "lane", "u", "size", "source_size", "target", "epoch", "finish", taken.alias("taken"), position.alias("position"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -94,15 +110,26 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, lanes: int = 1024, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it: a copy that is being served when
     the budget ends stays if at least half of its words were served. Documents without words have
-    no share of any budget and stay once."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    plan = (
-        schedule(docs, **options)
-        .where((F.col("size") == 0) | (2 * F.col("taken") >= F.col("size")) & (F.col("taken") > 0))
-        .groupBy("uid").agg(F.count("*").cast("int").alias("copies"))
-    )
-    out = keyed.join(plan, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    no share of any budget and stay once.
+
+    docs may be any plan: its rows are written once with a number each, and that table is read for
+    the schedule and for the result. A source's documents are served in one order, epoch by epoch,
+    so how far the last epoch came, one place for each source, tells each row's copies where it is:
+    rows are not shuffled. Null text and source, repeated rows and empty tables as in schedule;
+    other columns are kept, whatever their names.
+    """
+    rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    place = F.struct("lane", "u", "doc_id", "uid")
+    served = _schedule(rows.select(*_SIZED), seed=seed, lanes=lanes, **options).where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")))
+    reached = served.groupBy("source_key", "epoch").agg(F.max(place).alias("last")).groupBy("source_key").agg(F.max(F.struct("epoch", "last")).alias("x"))
+    # one row for each source, written so that the planner knows its size before it picks the join
+    reached = settle(reached.select("source_key", F.col("x.epoch").alias("epoch"), F.col("x.last").alias("last")), "mix-reached")
+    u = F.xxhash64(F.lit(seed), F.col("__id"), F.col("size"))
+    own = F.struct(F.pmod(F.shiftright(u, 20), F.lit(lanes)).cast("int").alias("lane"), u.alias("u"), F.col("__id").alias("doc_id"), F.col("__uid").alias("uid"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.coalesce("epoch", F.lit(0)) + F.when(own <= F.col("last"), 1).otherwise(0))
+    out = rows.join(reached, "source_key", "left").withColumn("__copies", copies).where("__copies > 0")
+    out = out.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
