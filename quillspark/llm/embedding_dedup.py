@@ -14,8 +14,8 @@ LIMIT = 0.9
 #: Vectors that the centroids are fitted on, vectors meant for a shard, most shards, and how many
 #: shards a vector joins.
 SAMPLE, SHARD, SHARDS, OVERLAP = 20_000, 800, 4096, 3
-#: Out-degree, candidates for pruning, slack of pruning, beam of the search, queries at once.
-DEGREE, CANDIDATES, SLACK, BEAM, QUERIES = 24, 48, 1.2, 24, 256
+#: Out-degree, candidates for pruning, slack of pruning, beam of the search, nodes expanded and queries walked at once.
+DEGREE, CANDIDATES, SLACK, BEAM, STEP, QUERIES = 24, 48, 1.2, 24, 4, 256
 #: Queries of the audit, and the recall below which the search is repeated with twice the width.
 AUDIT, RECALL = 256, 0.95
 #: Recall below which the result is not given out, audited queries with links that are enough, and most queries drawn for them.
@@ -23,7 +23,9 @@ LEAST, ENOUGH, MOST = 0.9, 64, 16_384
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Unit rows in double precision, scaled first so that no square leaves the range."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -50,18 +52,20 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     steps = np.unique(np.linspace(1, n - 1, far).astype(int))
     place = np.random.default_rng(7).permutation(n)
     back = np.argsort(place)
+    short = x.astype(np.float32)
     out = np.full((n, degree), -1)
-    for lo in range(0, n, 512):
-        rows = np.arange(lo, min(n, lo + 512))
-        s = x[rows] @ x.T
+    for lo in range(0, n, 256):
+        rows = np.arange(lo, min(n, lo + 256))
+        s = short[rows] @ short.T
         s[np.arange(len(rows)), rows] = -2
         top = np.argpartition(-s, near - 1, axis=1)[:, :near]
         cand = np.concatenate([top, back[(place[rows][:, None] + steps) % n]], axis=1)
         sim = np.take_along_axis(s, cand, axis=1)
         order = np.argsort(-sim, axis=1, kind="stable")
         cand, dist = np.take_along_axis(cand, order, 1), 1 - np.take_along_axis(sim, order, 1)
+        y = short[cand]
+        between = 1 - y @ y.transpose(0, 2, 1)
         alive = cand != rows[:, None]
-        y = x[cand]
         count = np.zeros(len(rows), int)
         for j in range(cand.shape[1]):
             take = np.flatnonzero(alive[:, j] & (count < degree))
@@ -69,53 +73,77 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
                 continue
             out[rows[take], count[take]] = cand[take, j]
             count[take] += 1
-            between = 1 - np.einsum("qd,qkd->qk", y[take, j], y[take])
-            alive[take] &= ~(slack * between <= dist[take])
+            alive[take] &= ~(slack * between[take, j] <= dist[take])
     return out
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, limit: float, beam: int = BEAM) -> list[np.ndarray]:
-    """For each query (a row number) the rows found with cosine >= limit. Greedy search from the
-    medoid with a beam; then everything in range that was found is expanded, until nothing new is."""
-    found = []
-    degree = graph.shape[1]
+    """For each query (a row number) the other rows found with cosine >= limit. A greedy search from the
+    medoid and the query's own list with a beam, STEP nodes a hop; then all that was found in range is
+    expanded, level by level, along near edges in either direction, until nothing new is in range. Going
+    back along edges reaches those that are on nobody's list."""
+    n, degree = len(x), graph.shape[1]
+    short = x.astype(np.float32)
+    tail, head = np.repeat(np.arange(n), degree)[graph.ravel() >= 0], graph[graph >= 0]
+    close = np.concatenate([np.einsum("nd,nd->n", short[tail[k : k + 65536]], short[head[k : k + 65536]]) for k in range(0, len(tail), 65536)]) >= limit - 0.1 if len(tail) else np.zeros(0, bool)
+    edges = np.unique(np.concatenate([tail[close] * n + head[close], head[close] * n + tail[close]]))
+    ends, first = edges % n, np.searchsorted(edges, np.arange(n + 1) * n)
+    lists = np.where(graph < 0, n, graph)  # n is nobody, and always seen
+    lists = np.concatenate([lists, np.full((1, degree), n)])
+    low, found = np.float32(limit - 1e-5), []
     for lo in range(0, len(queries), QUERIES):
         q = queries[lo : lo + QUERIES]
         m = len(q)
-        seen = np.zeros((m, len(x) + 1), bool)
-        open_ = np.full((m, len(x) + 1), -2.0, np.float32)  # similarity of what was seen and is not expanded
-        best = np.full((m, beam), -2.0)
-        start = x[q] @ x[medoid]
-        seen[:, medoid], open_[:, medoid] = True, start
-        best[:, 0] = start
-        hits = [[] for _ in range(m)]
-        for k in np.flatnonzero(start >= limit):
-            hits[k].append(np.array([medoid]))
-        active = np.arange(m)
+        rows = np.arange(m)
+        seen = np.zeros((m, n + 1), bool)
+        seen[:, n] = seen[rows, q] = True
+        ids, sims = np.full((m, beam), n), np.full((m, beam), -2, np.float32)
+        spent = np.ones((m, beam), bool)
+        hit_row, hit_node = [], []
+
+        def look(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of (query, node) pairs those seen for the first time, and their similarities."""
+            fresh = np.flatnonzero(~seen[who, nodes])
+            flat = np.unique(who[fresh] * (n + 1) + nodes[fresh])
+            who, nodes = np.divmod(flat, n + 1)
+            seen[who, nodes] = True
+            sim = np.einsum("nd,nd->n", short[q[who]], short[nodes])
+            near = sim >= low
+            hit_row.append(who[near])
+            hit_node.append(nodes[near])
+            return who, nodes, sim
+
+        new = np.concatenate([lists[q], np.full((m, 1), medoid)], axis=1)
+        active = rows
         while len(active):
-            at = np.argmax(open_[active], axis=1)
-            value = open_[active, at]
-            go = (value > -2) & ((value >= best[active].min(axis=1)) | (value >= limit - 1e-6))
-            active, at = active[go], at[go]
-            if not len(active):
-                break
-            open_[active, at] = -2
-            nbrs = graph[at]
-            fresh = (nbrs >= 0) & ~seen[active[:, None], nbrs]
-            rows, cols = np.nonzero(fresh)
-            if not len(rows):
-                continue
-            node, who = nbrs[rows, cols], active[rows]
-            seen[who, node] = True
-            sim = np.einsum("nd,nd->n", x[q[who]], x[node])
-            open_[who, node] = sim
-            wide = np.full((len(active), degree), -2.0)
-            wide[rows, cols] = sim
-            best[active] = -np.partition(-np.concatenate([best[active], wide], axis=1), beam - 1, axis=1)[:, :beam]
-            near = np.flatnonzero(sim >= limit)
-            for k in near:
-                hits[who[k]].append(node[k : k + 1])
-        found += [np.unique(np.concatenate(h)) if h else np.zeros(0, int) for h in hits]
+            who, nodes, sim = look(np.repeat(active, new.shape[1]), new.ravel())
+            nth = np.arange(len(who)) - np.searchsorted(who, who)
+            width = int(nth.max()) + 1 if len(nth) else 0
+            place = np.searchsorted(active, who)
+            more, more_sim = np.full((len(active), width), n), np.full((len(active), width), -2, np.float32)
+            more[place, nth], more_sim[place, nth] = nodes, sim
+            all_ids, all_sims = np.concatenate([ids[active], more], axis=1), np.concatenate([sims[active], more_sim], axis=1)
+            all_spent = np.concatenate([spent[active], more == n], axis=1)
+            best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+            ids[active], sims[active], now = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_sims, best, 1), np.take_along_axis(all_spent, best, 1)
+            open_ = np.where(now, np.float32(-3), sims[active])
+            go = np.argpartition(-open_, STEP - 1, axis=1)[:, :STEP]
+            value = np.take_along_axis(open_, go, 1)
+            new = np.where(value > -3, np.take_along_axis(ids[active], go, 1), n)
+            np.put_along_axis(now, go, True, axis=1)
+            spent[active] = now
+            left = (new < n).any(axis=1)
+            active = active[left]
+            new = lists[new[left]].reshape(len(active), STEP * degree)
+        who, nodes = (np.concatenate(h) if h else np.zeros(0, int) for h in (hit_row, hit_node))
+        while len(who):
+            level = len(hit_row)
+            width = first[nodes + 1] - first[nodes]
+            look(np.repeat(who, width), ends[np.repeat(first[nodes] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))])
+            who, nodes = np.concatenate(hit_row[level:]), np.concatenate(hit_node[level:])
+        who, nodes = (np.concatenate(h) if h else np.zeros(0, int) for h in (hit_row, hit_node))
+        order = np.lexsort((nodes, who))
+        found += np.split(nodes[order], np.searchsorted(who[order], np.arange(1, m)))
     return found
 
 
@@ -138,24 +166,27 @@ def _labels(n: int, pairs: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def _assign(classes: DataFrame, dims: int, centroids, overlap: int) -> DataFrame:
+    """(shard, home, id, m, x): each class in the shards of its nearest centroids, home in the nearest."""
+
     def run(batches):
         c = centroids.value
         for batch in batches:
-            s = _matrix(batch.column(1), dims) @ c.T
+            s = _matrix(batch.column(2), dims) @ c.T
             k = min(overlap, c.shape[0])
             near = np.argpartition(-s, k - 1, axis=1)[:, :k]
             first = np.argmax(s, axis=1)
             row = np.repeat(np.arange(len(s)), k)
             shard = near.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(shard == first[row]), *[batch.column(j).take(pa.array(row)) for j in range(2)]], names=["shard", "home", "id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(shard == first[row]), *[batch.column(j).take(pa.array(row)) for j in range(3)]], names=["shard", "home", "id", "m", "x"])
 
-    return classes.select("id", "x").mapInArrow(released(run), "shard int, home boolean, id long, x array<double>")
+    return classes.select("id", "m", "x").mapInArrow(released(run), f"shard int, home boolean, id long, m long, x {dict(classes.dtypes)['x']}")
 
 
 def _search(classes: DataFrame, dims: int, centroids, overlap: int, limit: float, beam: int) -> DataFrame:
-    """(u, v, linked): the links found, u < v, and for each u met in a shard its smallest reachable
-    one there."""
+    """(id, others, label): for each class met in a shard its smallest reachable one there, and for those at
+    home the number of vectors of other classes that are linked to it, else null."""
     spread = settle(_assign(classes, dims, centroids, overlap), "graph-shards")
+    kind = dict(classes.dtypes)["x"]
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -178,82 +209,92 @@ def _search(classes: DataFrame, dims: int, centroids, overlap: int, limit: float
     # vectors at the other ends that are strangers there
     home = spread.where("home").select("shard", "id")
     near = built.select("id", F.explode("near").alias("v")).distinct().join(home, "id")
-    added = near.groupBy("shard", "id").agg(F.collect_set("v").alias("more"))  # OVERLAP * DEGREE at most
+    near = settle(near, "graph-near")
+    added = near.groupBy("shard", "id").agg(F.collect_set("v").alias("more"))  # overlap * DEGREE at most
     lists = built.select("shard", "id", "nbrs").join(added, ["shard", "id"], "left").select("shard", "id", F.array_union("nbrs", F.coalesce("more", F.array().cast("array<bigint>"))).alias("nbrs"))
-    halo = near.select("shard", F.col("v").alias("id")).distinct().join(spread.select("shard", "id"), ["shard", "id"], "left_anti").join(classes.select("id", "x"), "id")
-    rows = spread.join(lists, ["shard", "id"], "left").select("shard", "home", "id", "x", "nbrs").unionByName(halo.select("shard", F.lit(None).cast("boolean").alias("home"), "id", "x", F.lit(None).cast("array<bigint>").alias("nbrs")))
+    halo = near.select("shard", F.col("v").alias("id")).distinct().join(spread.select("shard", "id"), ["shard", "id"], "left_anti").join(classes.select("id", "m", "x"), "id")
+    rows = spread.join(lists, ["shard", "id"], "left").select("shard", "home", "id", "m", "x", "nbrs").unionByName(halo.select("shard", F.lit(None).cast("boolean").alias("home"), "id", "m", F.col("x").cast(kind).alias("x"), F.lit(None).cast("array<bigint>").alias("nbrs")))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids = table.column("id").to_numpy()
         order = np.argsort(ids)
-        ids = ids[order]
+        ids, m = ids[order], table.column("m").to_numpy()[order]
         x = _matrix(table.column("x").combine_chunks(), dims)[order]
-        home = np.array([h is True for h in table.column("home").to_pylist()])[order]
-        member = np.array([h is not None for h in table.column("home").to_pylist()])[order]
-        lists = table.column("nbrs").to_pylist()
-        lists = [lists[k] or [] for k in order]
-        graph = np.full((len(ids), max(1, max(map(len, lists)))), -1)
-        for k, nbrs in enumerate(lists):
-            graph[k, : len(nbrs)] = np.searchsorted(ids, np.sort(np.array(nbrs, np.int64)))
+        told = table.column("home").to_pylist()
+        home, member = np.array([h is True for h in told])[order], np.array([h is not None for h in told])[order]
+        lists = table.column("nbrs").combine_chunks()
+        width = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        graph = np.full((len(ids), max(1, int(width.max()))), -1)
+        back = np.empty(len(order), int)
+        back[order] = np.arange(len(order))
+        row = np.repeat(back, width)
+        graph[row, np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)] = np.searchsorted(ids, flat)
         inner = np.flatnonzero(member)
         medoid = int(inner[np.argmax(x[inner] @ x[inner].mean(axis=0))])
         asked = np.flatnonzero(home)
         hits = range_search(x, graph, asked, medoid, limit, beam)
-        hits = [h[(h != k) & (x[h] @ x[k] >= limit)] for k, h in zip(asked, hits, strict=True)]
+        hits = [h[x[h] @ x[k] >= limit] for k, h in zip(asked, hits, strict=True)]  # every link in double precision
         label = _labels(len(ids), list(zip(asked.tolist(), hits, strict=True)))
-        a = np.repeat(asked, [len(h) for h in hits])
-        b = np.concatenate(hits) if hits else np.zeros(0, int)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), int)
-        touched = np.unique(pairs)
-        return pa.table({"u": np.concatenate([ids[pairs[0]], ids[touched]]), "v": np.concatenate([ids[pairs[1]], ids[label[touched]]]), "linked": np.repeat([True, False], [pairs.shape[1], len(touched)])})
+        others = np.zeros(len(ids), np.int64)
+        others[asked] = [int(m[h].sum()) for h in hits]
+        tell = np.unique(np.concatenate([asked[others[asked] > 0], *hits])) if len(asked) else np.zeros(0, int)
+        return pa.table({"id": ids[tell], "others": pa.array(others[tell], mask=~home[tell]), "label": ids[label[tell]]})
 
-    return settle(rows.groupBy("shard").applyInArrow(search, "u long, v long, linked boolean"), "graph-links")
+    return settle(rows.groupBy("shard").applyInArrow(search, "id long, others long, label long"), "graph-links")
 
 
-def audit(classes: DataFrame, links: DataFrame, dims: int, limit: float) -> tuple[float | None, float | None]:
+def audit(classes: DataFrame, counts: DataFrame, dims: int, limit: float) -> tuple[float | None, float | None]:
     """(the mean over classes with links of the share of a class's links that were found, the share of
     all their links), by brute force. Classes are drawn by a hash, AUDIT at first and four times as many while fewer than
     ENOUGH of them have links, MOST at most; None if none has."""
-    drawn = AUDIT
+    drawn, n = AUDIT, classes.count()
     while True:
-        n, *recall = _audited(classes, links, dims, limit, drawn)
-        if n >= ENOUGH or drawn >= MOST or drawn >= classes.count():
+        told, *recall = _audited(classes, counts, dims, limit, drawn)
+        if told >= ENOUGH or drawn >= MOST or drawn >= n:
             return tuple(recall)
         drawn *= 4
 
 
-def _audited(classes: DataFrame, links: DataFrame, dims: int, limit: float, queries: int):
-    """(classes with links among so many, the mean share of their links that was found, the share of all)."""
+def _audited(classes: DataFrame, counts: DataFrame, dims: int, limit: float, queries: int):
+    """(classes with links among so many, the mean share of their links that was found, the share of all).
+    What was found is verified, so its number tells what is missing."""
     drawn = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(queries).select("id", "x").toArrow()
     asked, q = drawn.column("id").to_numpy(), _matrix(drawn.column("x").combine_chunks(), dims)
-    sent = classes.sparkSession.sparkContext.broadcast((asked, q))
+    sent = classes.sparkSession.sparkContext.broadcast((asked, q))  # MOST rows at most
 
     def run(batches):
         asked, q = sent.value
+        total = np.zeros(len(asked), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            a, b = np.nonzero(_matrix(batch.column(1), dims) @ q.T >= limit)
-            other = ids[a] != asked[b]
-            u, v = ids[a[other]], asked[b[other]]
-            yield pa.RecordBatch.from_pydict({"u": np.minimum(u, v), "v": np.maximum(u, v), "q": v})
-
-    true = classes.select("id", "x").mapInArrow(released(run), "u long, v long, q long")
-    told = true.join(links.withColumn("hit", F.lit(1)), ["u", "v"], "left").groupBy("q").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
-    return told.agg(F.count("*"), F.avg(F.col("hit") / F.col("n")), F.sum("hit") / F.sum("n")).first()
+            ids, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            linked = _matrix(batch.column(2), dims) @ q.T >= limit
+            linked &= ids[:, None] != asked
+            total += m @ linked
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": asked[some], "n": total[some]})
+
+    true = classes.select("id", "m", "x").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = true.join(counts, "id", "left").select("n", F.coalesce("others", F.lit(0)).alias("hit"))
+    out = told.agg(F.count("*"), F.avg(F.col("hit") / F.col("n")), F.sum("hit") / F.sum("n")).first()
+    sent.destroy()
+    return out
 
 
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): vectors are linked when their cosine, in double
+    """(vec_id, n_links, component_id, kept, recall): vectors are linked when their cosine, in double
     precision, is at least limit.
 
     Equal vectors are one class. Classes join the shards of their OVERLAP nearest centroids; each
     shard builds a robust-pruned graph; adjacency lists are united; in its home shard, whose lists
     reach into the others where those found it near vectors, each class is searched for from the
-    medoid, range-expanding. Every link
-    is checked in double precision. A brute-force audit measures recall by class and by link; with either
-    below RECALL the search is done again with twice the overlap and beam, the links of all rounds together. Less
-    than LEAST by class after the third is an error.
+    medoid, range-expanding. Every link is checked in double precision and counted where it is
+    found; what leaves a shard is a count and a label for each class, no pairs. A brute-force audit
+    measures recall by class and by link; with either below RECALL the search is done again with
+    twice the overlap and beam, the labels of all rounds together and the largest counts. Less than
+    LEAST by class after the third is an error. recall is the lesser of the two, null where no
+    audited vector has links.
 
     Null, zero and non-finite vectors, those with null parts and those of another length than most
     have no links and are kept. Rows that repeat a vec_id are linked rows. An empty table gives an
@@ -262,15 +303,17 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
-    base = vectors.select("vec_id", F.transform(e, lambda x: x.cast("double")).alias("x"))
+    part = dict(vectors.dtypes)["embedding"].removeprefix("array<").removesuffix(">")
+    base = vectors.select("vec_id", (e if part in ("float", "double") else F.transform(e, lambda x: x.cast("double"))).alias("x"))
     good = F.coalesce(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("x", lambda x: x != 0), F.lit(False))
     sized = base.where(good).groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sized:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
     dims = sized[0][0]
-    # a class is told by its parts, zeros of either sign alike
-    usable = base.where(good & (F.size("x") == dims)).withColumn("x", F.transform("x", lambda x: F.when(x == 0, 0.0).otherwise(x)))
-    classes = settle(usable.groupBy("x").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("m")).select("id", "x", "m"), "graph-classes")
+    # a class is told by its parts, zeros of either sign alike; a row by its class
+    clean = F.transform("x", lambda x: F.when(x == 0, F.lit(0).cast(part if part in ("float", "double") else "double")).otherwise(x))
+    marked = base.select("vec_id", F.when(good & (F.size("x") == dims), clean).alias("x"))
+    classes = settle(marked.where("x is not null").groupBy("x").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("m")).select("id", "m", "x"), "graph-classes")
     n = classes.count()
     drawn = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
     sample = _matrix(drawn.column("x").combine_chunks(), dims)
@@ -280,18 +323,20 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     for _ in range(3):
         more = _search(classes, dims, centroids, overlap, limit, beam)
         found = more if found is None else found.union(more)
-        links = settle(found.where("linked").select("u", "v").distinct(), "graph-pairs")
-        recall, of_all = audit(classes, links, dims, limit)
+        counts = settle(found.groupBy("id").agg(F.max("others").alias("others")), "graph-counts")
+        recall, of_all = audit(classes, counts, dims, limit)
         if recall is None or min(recall, of_all) >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    centroids.destroy()
     if recall is not None and recall < LEAST:
         raise RuntimeError(f"the search found {recall:.3f} of the links of audited vectors, less than {LEAST}")
-    labels = components(found.where("not linked").select("u", "v").union(links.join(found.where("not linked").select(F.col("u").alias("v")).distinct(), "v", "left_anti").select("u", "v")))
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    reach = both.join(classes.select(F.col("id").alias("v"), "m"), "v").groupBy("u").agg(F.sum("m").alias("others"))
-    told = classes.join(reach, classes["id"] == reach["u"], "left").join(labels, classes["id"] == labels["node"], "left")
-    told = told.select("x", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    marked = base.withColumn("x", F.when(good & (F.size("x") == dims), F.transform("x", lambda x: F.when(x == 0, 0.0).otherwise(x))))
-    out = marked.join(told, "x", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    labels = components(found.select(F.col("id").alias("u"), F.col("label").alias("v")))
+    told = counts.join(labels, counts["id"] == labels["node"], "left").select("id", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "id").alias("component"))
+    of_class = classes.join(told, "id", "left").select("x", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    out = marked.join(of_class, "x", "left")
+    lone = F.col("vec_id").cast("long")
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", lone).alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.lit(None if recall is None else float(min(recall, of_all))).cast("double").alias("recall"),
+    )
