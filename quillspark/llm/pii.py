@@ -184,7 +184,7 @@ def _examples(spans: Column) -> Column:
         bare = F.regexp_replace(v, r"^\+[0-9]{1,3}[^0-9]+", "")
         off = F.concat(F.substr(d, F.lit(1), F.length(d) - 1), ((F.right(d, F.lit(1)).cast("int") + 1) % 10).cast("string"))
         dressed = lambda w: F.regexp_replace(w, "(?<=^....|^........|^............)(?=.)", " ")
-        spelt = lambda at, dot: F.regexp_replace(F.replace(v, F.lit("@"), F.lit(at)), r"\.(?=[A-Za-z0-9-]+$)", dot)
+        spelt = lambda at, dot: F.concat(F.substring_index(v, "@", 1), F.lit(at), F.replace(F.substring_index(v, "@", -1), F.lit("."), F.lit(dot)))
         amounts = [F.concat(part(1, 6), F.lit("."), part(7, 2)), F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)), F.concat_ws(".", part(1, 2), part(3, 2), part(5, 4))]
         none = F.array().cast("array<struct<kind:string,v:string,b:string,y:int>>")
         return (
@@ -295,7 +295,7 @@ def _invented(n: int) -> list[tuple[str, str, str]]:
         hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((18, 24, 32, 40))))
         out += [
             ("phone", dress % (rng.randint(1, 99), number(3), number(3), number(4)), word() + " "), ("card", card if k % 2 else " ".join(card[i : i + 4] for i in range(0, 16, 4)), word() + " "),
-            ("ip", ".".join(str(rng.randint(1, 255)) for _ in range(4)), word() + " "), ("email", f"{word()}.{word()}@{word()}.{rng.choice(('com', 'org', 'example.net'))}", word() + " "),
+            ("ip", ".".join(str(rng.randint(1, 255)) for _ in range(4)), word() + " "), ("email", f"{word()}.{word()}{number(rng.choice((0, 0, 1, 2, 4)))}@{word()}{number(k % 2)}.{rng.choice(('com', 'org', 'example.net', 'mail.example.org'))}", word() + " "),
             ("secret", hexes, word() + rng.choice((' token = "', " password=", " api_key: ", " secret='"))),
         ]
     return out
