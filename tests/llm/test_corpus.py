@@ -415,3 +415,35 @@ def test_added_spans_by_kind(spark):
         assert sum(caught) >= 0.85 * len(caught), (kind, sum(caught))
     alarms = [rows[k][1] for k in range(len(wanted), len(rows)) if got[k].flagged]
     assert len(alarms) <= 0.05 * len(clean), alarms
+
+
+def two_tongues(n=400, seed=23):
+    rng = random.Random(seed)
+    tongue = [["".join(rng.choice(a) + rng.choice(b) for _ in range(rng.randint(1, 4))) for _ in range(900)] for a, b in (("bdglmn", "aeiou"), ("ptkfsz", "yäöüå"))]
+    weight = [1 / (k + 3) for k in range(900)]
+    return [(k, " ".join(rng.choices(tongue[k % 2], weight, k=rng.randint(1, 80))), "en", "s", 0) for k in range(n)]
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.createDataFrame(two_tongues(), SCHEMA)
+    got = lm.score(docs).where("held_out").collect()
+    base, model = sum(r.base_score for r in got), sum(r.score for r in got)
+    assert model > base * 0.97, (base, model)
+    again = {r.doc_id: r.score for r in lm.score(docs.repartition(5)).collect()}
+    assert all(math.isclose(again[r.doc_id], r.score, rel_tol=1e-4) for r in got)
+
+
+def test_paths_are_a_code(spark):
+    """What stands before a word decides bits, and the words' probabilities still sum to one."""
+    rng = np.random.default_rng(4)
+    hashes = np.unique(rng.integers(1, 1 << 63, 700).astype(np.uint64))
+    codes = lm.Codes(hashes, rng.integers(2, 500, len(hashes)), 300)
+    codes.telling[:] = rng.normal(size=codes.telling.shape)
+    codes.lean(rng.integers(0, 40, (lm.KINDS + 1, codes.escape + 1)))
+    tables = [np.clip(rng.integers(-200, 200, 1 << s) << 3 | rng.integers(0, 5, 1 << s), -32768, 32767).astype(np.int16) for s in lm.SLOTS]
+    before = rng.integers(0, codes.escape + 1, 6)
+    n = codes.escape + 1
+    ids = np.concatenate([np.append(before, k) for k in range(n)])
+    whole = lm._text_bits(ids, np.arange(0, len(ids) + 1, 7), codes, tables)
+    begun = lm._text_bits(before, np.array([0, 6]), codes, tables)[0]
+    assert math.isclose(np.exp2(begun - whole).sum(), 1, rel_tol=1e-3)
