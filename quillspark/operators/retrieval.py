@@ -34,21 +34,31 @@ def _is(term: str):
 
 
 def cosine(a, b):
-    """Cosine in [-1, 1], null for a zero vector; parts are scaled by the largest, so nothing overflows."""
-    def scaled(v):
-        top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-        return F.transform(v, lambda x: x.cast("double") / F.nullif(top, F.lit(0.0)))
-
-    x, y = scaled(a), scaled(b)
-    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p * p))
-    c = dot / (norm(x) * norm(y))
-    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-
-
-def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """The k best with their rank: score falling, then key. A bounded heap in each task first."""
-    best = scored.orderBy(F.desc("score"), key).limit(k)
+    """Cosine in [-1, 1], null for a zero vector. Squares that leave the range of doubles are rare: then
+    the parts are scaled by the largest, which is sought for those rows alone."""
+    def doubles(v):
+        return F.transform(v, lambda x: x.cast("double"))
+
+    def of(x, y):
+        dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+        square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, p: s + p * p)
+        return dot, square(x), square(y)
+
+    def scaled(v):  # the largest part is bound once
+        top = F.array(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))))
+        return F.flatten(F.transform(top, lambda t: F.transform(v, lambda x: x.cast("double") / F.nullif(t, F.lit(0.0)))))
+
+    dot, n, m = of(doubles(a), doubles(b))
+    fine = n.between(1e-150, 1e150) & m.between(1e-150, 1e150)
+    far, fn, fm = of(scaled(a), scaled(b))
+    c = F.when(fine, dot / (F.sqrt(n) * F.sqrt(m))).otherwise(far / F.nullif(F.sqrt(fn) * F.sqrt(fm), F.lit(0.0)))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+
+
+def top(scored: DataFrame, k: int | None, key: str = "doc_id") -> DataFrame:
+    """The k best with their rank: score falling, then key. A bounded heap in each task first. Without k
+    all, for results that something else bounds."""
+    best = scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
 
 
@@ -81,11 +91,20 @@ def rerank_phrase(candidates: DataFrame, query: str, text: str = "text") -> Data
     return d.withColumn("new_rank", F.row_number().over(W.orderBy(F.desc("score"), "rank")))
 
 
-def boundaries(vectors: DataFrame, threshold: float = 0.55, key: str = "vec_id") -> DataFrame:
-    """Neighbours in key order whose cosine is below the threshold. Each row meets the row before
-    it by a join on the key's rank; keys without gaps need no window at all."""
-    before = vectors.select((F.col(key) + 1).alias(key), F.col("embedding").alias("__e"))
-    d = vectors.join(before, key).select(key, cosine(F.col("embedding"), F.col("__e")).alias("similarity"))
+def boundaries(vectors: DataFrame, threshold: float = 0.55, key: str = "vec_id", bucket_rows: int = 50_000) -> DataFrame:
+    """Neighbours in key order whose cosine is below the threshold; keys may have gaps. Rows go to buckets
+    of neighbouring keys; in a bucket each row meets the one before it, and a bucket's first row
+    the last one of the bucket before that holds rows."""
+    low, high, n = vectors.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not n:
+        return vectors.select(key, F.lit(None).cast("double").alias("similarity")).limit(0)
+    buckets = -(-n // bucket_rows)
+    b = F.floor((F.col(key) - F.lit(low)).cast("double") * F.lit(buckets / (high - low + 1))).cast("long")
+    d = vectors.select(key, "embedding", b.alias("__b")).where(F.col(key).isNotNull())
+    d = d.withColumn("__e", F.lag("embedding").over(W.partitionBy("__b").orderBy(key)))
+    lasts = d.groupBy("__b").agg(F.max_by("embedding", key).alias("__last"))  # one row a bucket
+    before = lasts.select("__b", F.lag("__last").over(W.orderBy("__b")).alias("__last"))
+    d = d.join(before, "__b").select(key, cosine(F.col("embedding"), F.coalesce("__e", "__last")).alias("similarity"))
     return d.where(F.col("similarity") < threshold)
 
 
@@ -108,16 +127,17 @@ def _holds(term):
     return lambda v: v.contains(term)
 
 
-def retrieve(corpus: DataFrame, mode: str, query: str = "", vectors: DataFrame | None = None, query_vector: DataFrame | None = None, limit: int = 20, candidates: int = 100, budget: int = 1_000_000) -> DataFrame:
+def retrieve(corpus: DataFrame, mode: str, query: str = "", vectors: DataFrame | None = None, query_vector: DataFrame | None = None, limit: int | None = 20, candidates: int = 100, budget: int = 1_000_000) -> DataFrame:
     """The five modes over (doc_id, text) and (doc_id, embedding): structured and direct (all, with
-    score 1), lexical, vector, hybrid. A direct request over the budget of characters fails."""
+    score 1), lexical, vector, hybrid. A direct request over the budget of characters fails; within
+    it all documents come back, whatever the limit."""
     if mode in ("structured", "direct"):
         d = corpus.select("doc_id", F.lit(1.0).alias("score"), F.length("text").alias("__n"))
         if mode == "direct":
             used = corpus.agg(F.sum(F.length("text"))).first()[0] or 0
             if used > budget:
                 raise ValueError(f"{used} characters are more than the budget of {budget}")
-        return top(d.drop("__n"), limit)
+        return top(d.drop("__n"), None if mode == "direct" else limit)
     words = query.split()
     lexical = lambda k: top(bm25(corpus, [w.lower() for w in words]), k)
     near = lambda k: top(vector_search(vectors.withColumnRenamed("doc_id", "vec_id"), query_vector, k).select(F.col("vec_id").alias("doc_id"), "score"), k)

@@ -106,7 +106,7 @@ def mrg_conflicts(spark, sf_dir):
 @query("select record, count(*) as n from (select case when p_name like 'small %' then 'tiny ' || substr(p_name, 7) else p_name end as record from part) group by 1")
 def mrg_alias(spark, sf_dir):
     facts = table(spark, sf_dir, "part").select(F.col("p_name").alias("record"))
-    aliases = facts.where(F.col("record").startswith("small ")).distinct().select(F.col("record").alias("alias"), F.concat(F.lit("tiny "), F.substring("record", 7, 1000)).alias("record"))
+    aliases = facts.where(F.col("record").startswith("small ")).distinct().select(F.col("record").alias("alias"), F.concat(F.lit("tiny "), F.substr("record", F.lit(7))).alias("record"))
     return merging.remap(facts, aliases).groupBy("record").agg(F.count("*").alias("n"))
 
 
