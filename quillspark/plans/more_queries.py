@@ -10,17 +10,6 @@ from ..operators import documents, matching
 from .registry import query, table
 
 
-@query("select lower(regexp_extract(html, 'lang=\"([a-z]+)\"', 1)) as format, count(*) as n from pages group by 1")
-def src_format_table(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.lower(F.regexp_extract("html", 'lang="([a-z]+)"', 1)).alias("format")).agg(F.count("*").alias("n"))
-
-
-@query("select p_partkey, least(p_size, 50 - p_size) as x0, greatest(p_size, 50 - p_size) as x1, round(p_size / 50.0::double, 6) as nx, (50 - p_size) as rotated from part")
-def src_geometry(spark, sf_dir):
-    s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", F.least(s, 50 - s).alias("x0"), F.greatest(s, 50 - s).alias("x1"), F.round(s / F.lit(50.0), 6).alias("nx"), (50 - s).alias("rotated"))
-
-
 @query("select doc_id from labels join documents using (doc_id) where quality = 1 and toxic = 0 and lang in ('en', 'de') and n_chars >= 500")
 def prd_eligible_entities(spark, sf_dir):
     ok = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -55,12 +44,6 @@ def prj_table_entities(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.col("event_type").try_cast("int").isNotNull().alias("typed"))
 
 
-@query("select doc_id, case when quality = 0 and toxic = 1 then 'both' when quality = 0 then 'quality' else 'toxic' end as issue, least(quality, 1 - toxic) as grade from labels where quality = 0 or toxic = 1")
-def prd_quality_flags(spark, sf_dir):
-    low, bad = F.col("quality") == 0, F.col("toxic") == 1
-    return table(spark, sf_dir, "labels").where(low | bad).select("doc_id", F.when(low & bad, "both").when(low, "quality").otherwise("toxic").alias("issue"), F.least("quality", 1 - F.col("toxic")).alias("grade"))
-
-
 @query("with k as (select distinct p_brand u, p_name k from part), n as (select u, count(*) n from k group by u), c as (select a.u a, b.u b, count(*) shared from k a join k b on a.k = b.k and a.u < b.u group by all) select a, b, shared, round(shared::double / (x.n + y.n - shared), 6) as jaccard from c join n x on x.u = a join n y on y.u = b")
 def jn_unit_pairs(spark, sf_dir):
     k = table(spark, sf_dir, "part").select(F.col("p_brand").alias("u"), F.col("p_name").alias("k")).distinct()
@@ -117,12 +100,6 @@ def agg_match_summary(spark, sf_dir):
     return p.join(m, "id", "left").groupBy("kind").agg(F.count("*").alias("records"), F.count("m").alias("matched"))
 
 
-@query("select case when quality = 1 and toxic = 0 then 'accepted' when quality = 0 then 'rejected' else 'open' end as state, count(*) as n from labels group by 1")
-def agg_review_counts(spark, sf_dir):
-    state = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "accepted").when(F.col("quality") == 0, "rejected").otherwise("open")
-    return table(spark, sf_dir, "labels").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("select page_id, list_sort(list_filter([case when contains(html, '<table') then 'table' end, case when contains(html, '&amp;') then 'entity' end, case when length(html) < 1000 then 'short' end], lambda x: x is not null)) as codes from pages")
 def agg_reading_report(spark, sf_dir):
     h = F.col("html")
@@ -136,12 +113,6 @@ def agg_coverage_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(s == "src1").alias("src1"), F.count_if(s == "src2").alias("src2"), F.count_if(~s.isin("src1", "src2")).alias("skipped"))
 
 
-@query("select r_name as kind, count(n_nationkey) as n from region left join nation on n_regionkey = r_regionkey and n_nationkey > 3 group by r_name")
-def agg_unit_counts(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey > 3").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
-    return table(spark, sf_dir, "region").join(n, "r_regionkey", "left").groupBy(F.col("r_name").alias("kind")).agg(F.count("n_nationkey").alias("n"))
-
-
 @query("with v as (select p_brand as coll, p_name as name, sum(case p_type when 'ECONOMY' then 3 when 'STANDARD' then 2 else 1 end)::bigint w from part group by all) select coll, name, w as votes from (select *, row_number() over (partition by coll order by w desc, name) r from v) where r = 1")
 def agg_choose_name(spark, sf_dir):
     w = F.when(F.col("p_type") == "ECONOMY", 3).when(F.col("p_type") == "STANDARD", 2).otherwise(1)
@@ -154,13 +125,6 @@ def agg_collection_build(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("item")).agg(F.sort_array(F.collect_set("p_brand")).alias("brands"), (F.countDistinct("p_type") > 1).alias("conflict"), F.count("*").alias("n"))
 
 
-@query("""with h as (select doc_id % 5 q, source lab, row_number() over (partition by doc_id % 5 order by n_chars desc, doc_id) r from documents), f as (select q, lab, min(r) r from h where r <= 10 group by all) select q, count(*) as labels, round(sum(1 / log2(r + 1)), 6) as gain from f group by q""")
-def irm_evidence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("q"), "source", F.row_number().over(W.partitionBy(F.col("doc_id") % 5).orderBy(F.desc("n_chars"), "doc_id")).alias("r")).where("r <= 10")
-    first = d.groupBy("q", "source").agg(F.min("r").alias("r"))
-    return first.groupBy("q").agg(F.count("*").alias("labels"), F.round(F.sum(1 / F.log2(F.col("r") + 1.0)), 6).alias("gain"))
-
-
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos from documents), t as (select *, case when length(line) <= 20 then 1 when length(line) <= 60 then 2 end lev from l), a as (select *, max(case when lev = 1 then pos end) over w h1, max(case when lev = 2 then pos end) over w h2 from t window w as (partition by doc_id order by pos)) select doc_id, pos, h1, case when h1 is null or h2 > h1 then h2 end as h2 from a""")
 def win_heading_stack(spark, sf_dir):
     w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
@@ -249,17 +213,6 @@ def fn_transliterate(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.translate(F.lower(F.concat(F.lit("мост "), "n_name")), CYRILLIC, LATIN).alias("latin"))
 
 
-@query("select p_partkey, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda w: case w when 'small' then 'little' else w end)), ' ') as key from part")
-def fn_place_name(spark, sf_dir):
-    words = F.transform(F.split("p_name", " "), lambda w: F.when(w == "small", "little").otherwise(w))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(words), " ").alias("key"))
-
-
-@query(r"select c_custkey, trim(regexp_replace(lower(c_name), '[^a-z]+', ' ', 'g')) as label from customer")
-def fn_norm(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.trim(F.regexp_replace(F.lower("c_name"), "[^a-z]+", " ")).alias("label"))
-
-
 @query("select o_custkey as doc, list_sort(list_distinct(list(cast(o_orderdate as date)))) as dates from orders group by 1")
 def fn_document_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.sort_array(F.collect_set(F.col("o_orderdate").cast("date"))).alias("dates"))
@@ -273,19 +226,6 @@ def fn_infer_schedule(spark, sf_dir):
     return best.where("b.fits >= 3").select("custkey", (-F.col("b.m")).alias("phase"), F.col("b.fits").alias("fits"))
 
 
-@query("select a.p_partkey as inner_id, b.p_partkey as outer_id from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size >= b.p_size and a.p_size + 2 <= b.p_size + 9 and a.p_partkey <> b.p_partkey")
-def fn_locator_relate(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    of = lambda x: p.select("p_brand", "p_type", F.col("p_partkey").alias(x + "_id"), F.col("p_size").alias(x))
-    return of("inner").join(of("outer"), ["p_brand", "p_type"]).where("`inner` >= `outer` and `inner` + 2 <= `outer` + 9 and inner_id <> outer_id").select("inner_id", "outer_id")
-
-
-@query("select doc_id, case when quality = 1 then 'yes' when quality = 0 then 'no' else '-' end as shown, '[' || doc_id || ']' as mark from documents left join labels using (doc_id)")
-def fn_display(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").otherwise("-").alias("shown"), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]")).alias("mark"))
-
-
 @query("select r_name as heading, string_agg('- ' || n_name || ' [' || n_nationkey || ']', chr(10) order by n_name) as body from region join nation on n_regionkey = r_regionkey group by r_name")
 def ask_render_list(spark, sf_dir):
     line = F.concat(F.lit("- "), "n_name", F.lit(" ["), F.col("n_nationkey").cast("string"), F.lit("]"))
@@ -301,36 +241,6 @@ def ask_rewrite(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (n(t) == n(F.replace(t, F.lit(" "), F.lit("  ")))).alias("preserved"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_returnflag = 'R' then abs(l_discount - 0.05) < 0.011 else l_tax > 0.02 end as correct from lineitem")
-def ev_correct(spark, sf_dir):
-    ok = F.when(F.col("l_returnflag") == "R", F.abs(F.col("l_discount") - 0.05) < 0.011).otherwise(F.col("l_tax") > 0.02)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ok.alias("correct"))
-
-
-@query("with e as (select p_name q, list_distinct(list(p_brand)) docs from part group by 1) select q, list_contains(docs, 'Brand#1') as document_hit, len(list_intersect(docs, ['Brand#2', 'Brand#3'])) > 0 as page_hit from e")
-def ev_citation(spark, sf_dir):
-    d = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("q")).agg(F.collect_set("p_brand").alias("docs"))
-    return d.select("q", F.array_contains("docs", "Brand#1").alias("document_hit"), F.arrays_overlap("docs", F.array(F.lit("Brand#2"), F.lit("Brand#3"))).alias("page_hit"))
-
-
-@query("select o_orderpriority as run, count(*) as n, round(avg((o_totalprice > 150000)::int), 6) as accuracy from orders group by 1")
-def ev_rescore(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_totalprice") > 150000).cast("int")), 6).alias("accuracy"))
-
-
-@query("with a as (select o_custkey k, count(*) n from orders where o_orderstatus = 'F' group by 1), b as (select o_custkey k, count(*) n from orders where o_orderstatus = 'O' group by 1) select coalesce(a.k, b.k) as question, a.n as run_a, b.n as run_b, coalesce(a.n, 0) <> coalesce(b.n, 0) as differs from a full outer join b on a.k = b.k")
-def ev_compare(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    of = lambda s, n: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("question")).agg(F.count("*").alias(n))
-    d = of("F", "run_a").join(of("O", "run_b"), "question", "full_outer")
-    return d.select("question", "run_a", "run_b", (F.coalesce("run_a", F.lit(0)) != F.coalesce("run_b", F.lit(0))).alias("differs"))
-
-
-@query("select p_brand as row_label, p_type as column_label, case when count(*) = 0 then 'missing' when max(p_size) >= 40 then 'found' else 'wrong' end as state from part group by all")
-def ev_tables(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("row_label"), F.col("p_type").alias("column_label")).agg(F.when(F.max("p_size") >= 40, "found").otherwise("wrong").alias("state"))
-
-
 @query("select a.n_name as collection, b.n_name as neighbour from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey")
 def ev_taxonomy(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -344,18 +254,6 @@ def ev_speed_bench(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.round(p95, 6).alias("p95"), (p95 < 60).alias("within"))
 
 
-@query("select p_brand as unit, sha256(array_to_string(list_sort(list_distinct(list(p_name || ':' || p_type))), '|')) as signature from part group by 1")
-def str_signature(spark, sf_dir):
-    items = F.sort_array(F.collect_set(F.concat("p_name", F.lit(":"), "p_type")))
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("unit")).agg(F.sha2(F.array_join(items, "|").cast("binary"), 256).alias("signature"))
-
-
-@query("select p_partkey, r - 1 as row, c - 1 as col from part, (select unnest([1, 2, 3]) r), (select unnest([1, 2]) c) where r <= p_size % 3 + 1 and c <= p_size % 2 + 1")
-def str_grid(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("row"), "p_size")
-    return p.select("p_partkey", "row", F.explode(F.sequence(F.lit(0), F.col("p_size") % 2)).alias("col"))
-
-
 @query("select p_partkey, 'rec_' || substr(sha256(p_type || chr(0) || lower(p_name) || chr(0) || p_brand), 1, 24) as ref from part")
 def er_source_identity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.scoped_id("rec", F.col("p_type"), F.lower("p_name"), F.col("p_brand")).alias("ref"))
@@ -374,13 +272,6 @@ def rev_duplicate_questions(spark, sf_dir):
     return d.select(F.col("p_name").alias("record"), F.col("p_brand").alias("fact"), "place")
 
 
-@query("select n as record, brand as best from (select p_name n, p_brand brand, row_number() over (partition by p_name order by count(distinct p_type) desc, count(*) desc, p_brand) r from part group by p_name, p_brand) where r = 1")
-def rev_verified(spark, sf_dir):
-    d = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.countDistinct("p_type").alias("docs"), F.count("*").alias("n"))
-    d = d.withColumn("r", F.row_number().over(W.partitionBy("p_name").orderBy(F.desc("docs"), F.desc("n"), "p_brand"))).where("r = 1")
-    return d.select(F.col("p_name").alias("record"), F.col("p_brand").alias("best"))
-
-
 @query("with o as (select p_partkey id, p_name || '|' || p_brand anchor from part), n as (select p_partkey + 1 id, p_name || '|' || p_brand anchor from part where p_size > 25), u as (select anchor from o group by 1 having count(*) = 1), v as (select anchor from n group by 1 having count(*) = 1) select o.id as old_id, n.id as new_id from o join u using (anchor) join n using (anchor) join v using (anchor)")
 def jn_carry_align(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat("p_name", F.lit("|"), "p_brand").alias("anchor"))

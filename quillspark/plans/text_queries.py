@@ -237,21 +237,11 @@ def fn_a1_range(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", T.column_number(letter).cast("long").alias("number"))
 
 
-@query("select p_partkey, 'n' || 's' || 'e' as shape from part")
-def fn_shape(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(T.shape(F.col("p_retailprice").cast("string")), T.shape(F.col("p_name")), T.shape(F.lit(" "))).alias("shape"))
-
-
 @query("select vec_id, len(embedding) = 64 as valid from embeddings")
 def fn_embedding_validate(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", T.valid_vector(F.col("embedding"), 64).alias("valid"))
 
 
-@query("select page_id, regexp_extract(url, '^(https?)://', 1) as scheme, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages")
-def fn_storage_path(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.parse_url("url", F.lit("HOST")).alias("host"))
-
-
 @query("select conv_id, turn, lead(role) over (partition by conv_id order by turn) as answered_by, coalesce(lead(role) over (partition by conv_id order by turn) = 'assistant', false) as paired from conversations where role in ('user', 'assistant') qualify role = 'user'")
 def ask_list_check(spark, sf_dir):
     w = W.partitionBy("conv_id").orderBy("turn")
@@ -264,11 +254,3 @@ def str_units(spark, sf_dir):
     h = F.col("html")
     n = lambda tag: F.regexp_count(h, F.lit(f"<{tag}[ >]")).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", n("li").alias("n_items"), n("p").alias("n_paragraphs"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("select page_id, regexp_extract(lower(regexp_extract(url, '^[^?#]*', 0)), '\\.(html|pdf|txt)$', 1) as ext, 'html' as sniffed from pages")
-def src_declared_format(spark, sf_dir):
-    from ..sources import sniffed_format
-
-    path = F.lower(F.regexp_extract("url", "^[^?#]*", 0))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(path, r"\.(html|pdf|txt)$", 1).alias("ext"), sniffed_format(F.col("html").cast("binary")).alias("sniffed"))
