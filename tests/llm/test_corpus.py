@@ -447,3 +447,14 @@ def test_paths_are_a_code(spark):
     whole = lm._text_bits(ids, np.arange(0, len(ids) + 1, 7), codes, tables)
     begun = lm._text_bits(before, np.array([0, 6]), codes, tables)[0]
     assert math.isclose(np.exp2(begun - whole).sum(), 1, rel_tol=1e-3)
+
+
+def test_verdict_on_unlabelled_texts(spark):
+    rng = random.Random(29)
+    junk = lambda: " ".join(rng.choice(["click", "here", "buy", "now", "cheap", "win", "prize", "free"]) + rng.choice(["", "!!!", "$$$"]) for _ in range(rng.randint(15, 60)))
+    rows = [(k, prose(rng, rng.randint(15, 60)) if k % 3 else junk(), "en", "s", 0) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.rate(spark.createDataFrame(rows, SCHEMA), labels).collect() if not r.base_failed}
+    new = [k for k in got if k >= 300]
+    good, bad = [got[k].kept for k in new if k % 3], [got[k].kept for k in new if not k % 3]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
