@@ -229,8 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"):
             least = [int(h.min() >> np.uint64(1)) if len(h) else 0 for h in shingle_hashes(wordhash.texts_of(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array([int(y) for y in batch.column(2).to_pylist()], pa.int32()), pa.array(least, pa.int64())], names=["words", "toxic", "least"])
 
-    # copies and most near copies have the same least shingle; they count once
-    restored = settle(sample.mapInArrow(released(words), "words array<string>, toxic int, least long").dropDuplicates(["least", "toxic"]), "toxic-words")
+    # copies and most near copies have the same least shingle; they count once, whichever task meets them
+    told = sample.mapInArrow(released(words), "words array<string>, toxic int, least long")
+    restored = settle(told.groupBy("least", "toxic").agg(F.min("words").alias("words")).select("words", "toxic"), "toxic-words")
 
     def count(batches):
         sums = Counter()
