@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import change_queries, entity_queries, more_queries, retrieval_queries, rule_queries, text_queries  # noqa: F401
+from . import change_queries, entity_queries, more_queries, record_queries, retrieval_queries, rule_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "ret_rrf"

@@ -31,6 +31,6 @@ class Fixture:
 
     @property
     def sql(self) -> str:
-        names = ", ".join(f"v.{n}::{duck_type(k)} as {n}" for n, k in self.columns)
+        names = ", ".join(f'v."{n}"::{duck_type(k)} as "{n}"' for n, k in self.columns)
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return f"(select {names} from (values {values}) v({', '.join(n for n, _ in self.columns)}))"
+        return f"(select {names} from (values {values}) v({', '.join(f'"{n}"' for n, _ in self.columns)}))"

@@ -16,18 +16,6 @@ def prd_eligible_entities(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang in ('en', 'de') and n_chars >= 500").select("doc_id").join(ok, "doc_id", "left_semi")
 
 
-@query(r"select lang, count(*) as documents, sum(n_chars)::bigint as chars, count(*) filter (n_chars < 100) as short, count(*) filter (regexp_matches(text, '[0-9]')) as with_numbers from documents group by lang")
-def prj_ai_document(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("short"), F.count_if(F.col("text").rlike("[0-9]")).alias("with_numbers"))
-
-
-@query("select doc_id, 'no label' as gap from documents where doc_id not in (select doc_id from labels) union all select doc_id, 'short' from documents where n_chars < 100 union all select doc_id, 'low quality' from labels where quality = 0")
-def prj_gaps(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    gap = lambda x, g: x.select("doc_id", F.lit(g).alias("gap"))
-    return gap(d.join(l.select("doc_id"), "doc_id", "left_anti"), "no label").union(gap(d.where("n_chars < 100"), "short")).union(gap(l.where("quality = 0"), "low quality"))
-
-
 @query("select p_partkey as id, p_name as name, 'src_' || substr(sha256(p_brand), 1, 16) as source_id from part where p_type = 'ECONOMY'")
 def prj_list_item(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("src_"), F.substring(F.sha2(F.col("p_brand").cast("binary"), 256), 1, 16)).alias("source_id"))
@@ -92,14 +80,6 @@ def agg_bundle_summary(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey").join(c, "o_custkey", "left").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count("d").alias("in_debt"))
 
 
-@query("with p as (select p_partkey id, p_brand doc, p_type kind, p_type || p_name || p_size k from part), m as (select distinct a.id, a.kind from p a join p b on a.k = b.k and a.id <> b.id and a.doc <> b.doc) select kind, count(*) as records, count(*) filter (id in (select id from m)) as matched from p group by kind")
-def agg_match_summary(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("doc"), F.col("p_type").alias("kind"), F.array(F.concat("p_type", "p_name", F.col("p_size").cast("string"))).alias("keys"))
-    pairs = matching.blocked_pairs(p)
-    m = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("m", F.lit(1))
-    return p.join(m, "id", "left").groupBy("kind").agg(F.count("*").alias("records"), F.count("m").alias("matched"))
-
-
 @query("select page_id, list_sort(list_filter([case when contains(html, '<table') then 'table' end, case when contains(html, '&amp;') then 'entity' end, case when length(html) < 1000 then 'short' end], lambda x: x is not null)) as codes from pages")
 def agg_reading_report(spark, sf_dir):
     h = F.col("html")
@@ -204,15 +184,6 @@ def fn_normalize_answer(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.fold(F.concat(F.lit("Éß "), "c_name")).alias("answer"))
 
 
-#: Cyrillic letters and their Latin writing, letter by letter (fixed values).
-CYRILLIC, LATIN = "абвгдезийклмнопрстуфы", "abvgdeziiklmnoprstufy"
-
-
-@query(f"select n_nationkey, translate(lower('мост ' || n_name), '{CYRILLIC}', '{LATIN}') as latin from nation")
-def fn_transliterate(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.translate(F.lower(F.concat(F.lit("мост "), "n_name")), CYRILLIC, LATIN).alias("latin"))
-
-
 @query("select o_custkey as doc, list_sort(list_distinct(list(cast(o_orderdate as date)))) as dates from orders group by 1")
 def fn_document_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.sort_array(F.collect_set(F.col("o_orderdate").cast("date"))).alias("dates"))
@@ -297,12 +268,6 @@ def md_documents(spark, sf_dir):
     return d.select("document", F.col("m.o_orderkey").alias("latest_job"), F.col("m.o_orderstatus").alias("status"), "jobs")
 
 
-@query("select o_custkey as document, max(o_orderkey) filter (o_orderstatus = 'F') as pinned, count(*) filter (o_orderstatus = 'P') > 0 as preparing from orders group by 1")
-def md_pins(spark, sf_dir):
-    s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document")).agg(F.max(F.when(s == "F", F.col("o_orderkey"))).alias("pinned"), (F.count_if(s == "P") > 0).alias("preparing"))
-
-
 @query("select d.doc_id, d.sha = p.sha as reusable from (select doc_id, sha256(text) sha from documents) d join (select doc_id, sha256(case when doc_id % 7 = 0 then text || '!' else text end) sha from documents) p using (doc_id)")
 def reuse_docs(spark, sf_dir):
     t = F.col("text")

@@ -23,18 +23,6 @@ def win_title_carry(spark, sf_dir):
     return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").cast("long").alias("n"), F.last(F.when(F.length("line") <= 40, F.col("line")), ignorenulls=True).over(w).alias("title"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos from documents) select doc_id, pos // 20 as chunk, count(*) as n_rows, sum(length(line))::bigint as n_chars from l group by all""")
-def win_chunk_table(spark, sf_dir):
-    d = documents.lines(table(spark, sf_dir, "documents"))
-    return d.groupBy("doc_id", F.floor(F.col("pos") / 20).alias("chunk")).agg(F.count("*").alias("n_rows"), F.sum(F.length("line")).alias("n_chars"))
-
-
-@query("select doc_id, length(text) as n_chars, true as whole from documents where length(text) > 0")
-def win_chunk_pack(spark, sf_dir):
-    chunks = documents.chunks(table(spark, sf_dir, "documents"))
-    return chunks.groupBy("doc_id").agg(F.sum(F.length("chunk")).alias("n_chars"), (F.max(F.length("chunk")) <= 1600).alias("whole"))
-
-
 @query("select doc_id, case when lang <> '' and source <> '' then source || ' > ' || lang || chr(10) || text else text end as body from documents")
 def win_contextualize(spark, sf_dir):
     head = F.when((F.col("lang") != "") & (F.col("source") != ""), F.concat(F.col("source"), F.lit(" > "), F.col("lang"), F.lit("\n"))).otherwise("")
@@ -145,11 +133,6 @@ def prd_field_predicates(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")).where("k >= 50 and k <> 60 and event_type in ('click', 'view') and k is not null").select("event_id", "k")
 
 
-@query("select event_id, json_extract_string(props, '$.k') as value from events")
-def prd_json_pointer(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("value"))
-
-
 @query("select doc_id, 1.0::double as score from documents where lang = 'en' and source in ('src1', 'src2')")
 def prd_scope(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en' and source in ('src1', 'src2')").select("doc_id", F.lit(1.0).alias("score"))
