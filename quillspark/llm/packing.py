@@ -18,7 +18,7 @@ from .common import released, settle
 
 CAPACITY = 2048
 #: Characters of text that are split at once; one longer text goes by itself.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 END_ID = 0
 
 
