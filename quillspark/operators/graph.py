@@ -30,12 +30,18 @@ def vetoed(members: DataFrame, source: str, component: str = "component") -> Dat
     return d.select(component, "n", (F.col("n") == F.col("__s")).alias("ok"))
 
 
-def trace(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) of what edges (parent, child) reach from seeds (node), the nearest depth of each."""
+def trace(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, depth) of what edges (parent, child) reach from seeds (node), the nearest depth of each; without a
+    depth everything that can be reached. Each level is checkpointed and meets only new nodes, so cycles end."""
     found = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    level = found
-    for k in range(1, depth + 1):
+    level, k = found, 0
+    while depth is None or k < depth:
+        k += 1
         level = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.lit(k).alias("depth")).distinct().join(found.select("node"), "node", "left_anti")
+        if depth is None:
+            level = level.checkpoint()
+            if level.isEmpty():
+                break
         found = found.union(level)
     return found
 

@@ -161,7 +161,8 @@ def gr_lineage_trace(spark, sf_dir):
 @query(f"with recursive {_EDGES}, t(node) as (select 'c' || c_custkey from customer where c_custkey % 50 = 0 union select child from t join ed on node = parent) select node from t where node not in (select 'c' || c_custkey from customer where c_custkey % 50 = 0)")
 def gr_invalidated(spark, sf_dir):
     seeds = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
-    return graph.trace(_edges(spark, sf_dir), seeds, 3).where("depth > 0").select("node")
+    _checkpoints(spark)
+    return graph.trace(_edges(spark, sf_dir), seeds).where("depth > 0").select("node")
 
 
 @query(f"with {_EDGES}, nd as (select child id, parent from ed union all select 'r' || r_regionkey, null from region) select 'roots' as problem, greatest(abs(count(*) - 1), 0) as n from nd where parent is null union all select 'several_parents', (select count(*) from (select id from nd group by id having count(distinct parent) > 1)) union all select 'dangling', (select count(*) from nd where parent is not null and parent not in (select id from nd))")

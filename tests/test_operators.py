@@ -116,3 +116,11 @@ def test_stream_reconcile(spark, tmp_path):
     q = streaming.reconcile(stream, f"{tmp_path}/state", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.user_id, r.event_id) for r in streaming.newest(spark, f"{tmp_path}/state").collect()} == {(0, 9), (1, 10), (2, 11)}
+
+
+def test_trace_ends_on_cycles(spark):
+    from quillspark.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "y")], "parent string, child string")
+    got = graph.trace(edges, spark.createDataFrame([("a",)], "node string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
