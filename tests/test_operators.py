@@ -139,6 +139,9 @@ def test_pairs_of_a_large_group_are_shared_by_tasks(spark, tmp_path):
     assert conflict.count() == len(pairs)
     bolts = conflict.where("a % 50 <> 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(bolts) > 1
+    told = lambda s, t: 1.0 if None in (s, t) else (0.0 if t else 0.2) if s else (0.9 if t else 1.0)
+    score = catalog.QUERIES["er_score_translated"](spark, str(tmp_path))
+    assert {tuple(r) for r in score.collect()} == {(p[0][0], p[1][0], told(differ(p, 4), differ(p, 3))) for p in pairs}
 
 
 def test_pairs_in_groups_for_any_block(spark):
