@@ -3,7 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
-from quillspark.operators.fuzzy import similar_names, unit_diff
+from quillspark.operators.fuzzy import reaches, similar_names, unit_diff
 
 
 def test_similar_names_finds_every_pair(spark):
@@ -22,3 +22,31 @@ def test_unit_diff(spark):
     old = spark.createDataFrame([(1, 0, "title"), (1, 1, "the ring is blue"), (1, 2, "gone"), (1, 3, "moves")], "doc long, address int, body string")
     new = spark.createDataFrame([(1, 0, "title"), (1, 1, "the ring is blue now"), (1, 2, "moves"), (1, 4, "fresh")], "doc long, address int, body string")
     assert {tuple(r) for r in unit_diff(old, new).collect()} == {(1, "moved", 3, 2), (1, "edited", 1, 1), (1, "removed", 2, None), (1, "added", None, 4)}
+
+
+def test_reaches_as_the_ratio_tells():
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("abc", "xabc")]
+    for _ in range(3000):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 16)))
+        y = "".join(c if rng.random() < 0.6 else rng.choice("abcd") for c in x) + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 5)))
+        pairs.append((x, y))
+    for threshold in (0.3, 0.6, 0.75, 1.0):
+        for x, y in pairs:
+            assert reaches(x, y, threshold) == (SequenceMatcher(None, x, y, autojunk=False).ratio() >= threshold), (x, y, threshold)
+
+
+def test_unit_diff_of_long_units_and_repeated_rows(spark):
+    long = "ab" * 6000
+    old = [(1, 0, long), (1, 1, "same"), (1, 1, "same"), (2, 0, "a"), (2, 1, "a"), (2, 2, None), (None, 0, "z"), (3, 0, ""), (4, 0, "xyz one two"), (5, 5, "p"), (5, 5, "q")]
+    new = [(1, 0, long + " more"), (1, 1, "same"), (2, 3, "a"), (2, 2, None), (None, 0, "z"), (3, 0, "new"), (4, 0, "one two wvu"), (5, 5, "r")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, address int, body string")
+    d = unit_diff(frame(old), frame(new))
+    want = [
+        (1, "edited", 0, 0), (2, "moved", 0, 3), (2, "removed", 1, None), (None, "removed", 0, None), (None, "added", None, 0), (3, "removed", 0, None), (3, "added", None, 0),
+        (4, "edited", 0, 0), (5, "removed", 5, None), (5, "removed", 5, None), (5, "added", None, 5), (5, "added", None, 5),
+    ]
+    assert sorted(map(str, map(tuple, d.collect()))) == sorted(map(str, want))
+    # one shuffle of both versions, and matching blocks once for each pair
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1
