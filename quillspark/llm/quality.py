@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import native_words, text_or_empty
+from .common import native_words, settle, text_or_empty
 
 BUCKETS = 1 << 14
-#: Most labelled documents that the target and the threshold are fitted on, by a hash of doc_id.
-LABELLED = 20_000
+#: Ranges of the ratio whose labelled documents are summed apart for the threshold.
+RANGES = 4096
 #: n-grams that are added to a text's count as if they said nothing.
 CALM = 20.0
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -56,19 +56,30 @@ def _ratio(weights: list[float]) -> Column:
     return total / (F.size("grams") + CALM)
 
 
-def _threshold(scored: list[tuple[float, int]], dear: float = 5.0) -> float:
-    """The cut with the least of dear * (share of good ones below) + (share of bad ones above)."""
-    scored.sort()
-    good, bad = sum(1 for _, q in scored if q), sum(1 for _, q in scored if not q)
+def _threshold(scored: DataFrame, dear: float = 5.0) -> float:
+    """The cut of scored (llr, quality) with the least of dear * (share of good ones below) + (share of
+    bad ones above), the lowest of equals. Running sums go by range of llr, with the ranges' totals added."""
+    # equal ratios first: a cut lies between two different ones
+    per = scored.groupBy("llr").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    low, high, good, bad = per.agg(F.min("llr"), F.max("llr"), F.sum("good"), F.sum("bad")).first()
     if not good or not bad:
         return -math.inf
-    best, cut, lost, caught = float(1), -math.inf, 0, 0
-    for k, (x, q) in enumerate(scored):
-        lost, caught = lost + (q == 1), caught + (q == 0)
-        cost = dear * lost / good + 1 - caught / bad
-        if cost < best and (k + 1 == len(scored) or scored[k + 1][0] > x):
-            best, cut = cost, x if k + 1 == len(scored) else (x + scored[k + 1][0]) / 2
-    return cut
+    x, width = F.col("llr"), (high - low) / RANGES
+    per = per.withColumn("range", F.floor((x - low) / width).cast("int") if width else F.lit(0))
+    totals = sorted(per.groupBy("range").agg(F.min("llr"), F.sum("good"), F.sum("bad")).collect())  # RANGES + 1 rows
+    ahead, g, b = [], 0, 0
+    for k, (r, _, more_good, more_bad) in enumerate(totals):
+        ahead.append((r, g, b, totals[k + 1][1] if k + 1 < len(totals) else None))
+        g, b = g + more_good, b + more_bad
+    told = per.sparkSession.createDataFrame(ahead, "range int, good0 long, bad0 long, beyond double")
+    w = W.partitionBy("range").orderBy("llr")
+    d = per.join(F.broadcast(told), "range")  # RANGES + 1 rows
+    lost, caught = F.col("good0") + F.sum("good").over(w), F.col("bad0") + F.sum("bad").over(w)
+    d = d.select((F.lit(dear) * lost / F.lit(good) + 1 - caught / F.lit(bad)).alias("cost"), "llr", F.coalesce(F.lead("llr").over(w), "beyond").alias("next"))
+    cost, at, following = d.agg(F.min(F.struct("cost", "llr", "next")).alias("x")).select("x.*").first()
+    if not cost < 1.0:
+        return -math.inf
+    return at if following is None else (at + following) / 2
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,18 +89,15 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents of quality 1, and the raw corpus, all documents, divided by the text's n-grams. One
     threshold, where the fewest labelled documents are misjudged and a lost good one counts five
     times, decides for every document. The target is of the half of the labelled documents that a hash picks, the
-    threshold of the other half. Labels come from at most LABELLED rows, which a join by
-    broadcast needs; the corpus counts are of all texts. Without labels of both kinds the ratio
+    threshold of the other half. All labels and all texts count. Without labels of both kinds the ratio
     rejects nothing.
 
     Null or empty text: all counts 0, base_failed. Rows that repeat are rated each; a doc_id with
     several labels takes the least quality. An empty table gives an empty result.
     """
-    chosen = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    rows = [tuple(r) for r in chosen.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")).collect()]
-    known = docs.sparkSession.createDataFrame(rows, f"doc_id {dict(labels.dtypes)['doc_id']}, quality int, half int")
-    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")  # LABELLED rows
+    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
+    some = docs.select("doc_id", "text").join(known.where("quality = 1 and half = 0"), "doc_id", "left")
     # an outer explode: no filter on the arrays is then pushed into the expressions that make them
     grams = base_counts(some, ["quality", "half"]).select(F.explode_outer("grams").alias("b"), ((F.col("quality") == 1) & (F.col("half") == 0)).cast("long").alias("g"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum(F.coalesce("g", F.lit(0))).alias("good")).collect()  # BUCKETS rows
@@ -101,9 +109,9 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # a bucket that the target hardly saw leans on the corpus
     weights = [math.log((good[b] + 2.0 * (raw[b] + 1) / all_raw * BUCKETS) / (all_good + BUCKETS)) - math.log((raw[b] + 1) / all_raw) for b in range(BUCKETS)]
     llr = _ratio(weights)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known.where("half = 1")), "doc_id")
-    cut = _threshold([(r[0], r[1]) for r in base_counts(labelled, ["quality"]).select(llr, "quality").collect()])
-    d = base_counts(docs.select("doc_id", "text"), ["doc_id"]).withColumn("llr", llr).drop("grams")
+    # texts are rated once, the threshold then takes the ratios of those with labels
+    d = settle(base_counts(docs.select("doc_id", "text"), ["doc_id"]).withColumn("llr", llr).drop("grams"), "quality-rated")
+    cut = _threshold(d.select("doc_id", "llr").join(known.where("half = 1"), "doc_id"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
