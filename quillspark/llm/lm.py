@@ -25,8 +25,10 @@ NEAR, FEW = 1 << 14, 64
 ORDERS = (1, 2, 3, 4, 6)
 #: log2 of the slots of each hashed table: word before, last two frequent words, spelling orders, kind of text.
 SLOTS = (21, 20, 16, 18, 20, 21, 21, 16)
-#: Kinds of texts, the most frequent words that tell them, and the texts that they are found in, by a hash.
-KINDS, TELLING, SAMPLE = 8, 1024, 4000
+#: Kinds of texts and the most frequent words that tell them.
+KINDS, TELLING = 8, 1024
+#: Steps of the unit vectors of texts and of kinds, and texts that are compared at once.
+FINE, COARSE, VECTORS = 1 << 12, 1 << 11, 512
 #: Words that a kind's share of a word leans on the share over all texts with.
 LEAN = 8.0
 END = np.uint64(0x5EED0F7E87E4D)
@@ -135,26 +137,118 @@ class Codes:
         return out
 
 
-def text_kinds(bags: np.ndarray, rounds: int = 20) -> np.ndarray:
+def _binary(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """flat as one binary a text, of so many numbers each."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each text has, the numbers) of a column of _binary."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(dtype).itemsize
+    return np.diff(offsets), np.frombuffer(column.buffers()[2] or b"", dtype)[offsets[0] : offsets[-1]]
+
+
+def _bags(docs: DataFrame, codes) -> DataFrame:
+    """(ids, times): which of the TELLING most frequent words each text has and how often, as 16-bit and
+    32-bit numbers. Texts without any are left out."""
+
+    def run(batches):
+        c = codes.value
+        for batch in batches:
+            texts = wordhash.texts_of(batch.column(0))
+            for lo, hi in wordhash.chunks(texts, 8 * CHUNK_BYTES):
+                ids, _, first, _, _, _ = _tokens(texts[lo:hi], c)
+                told = ids < TELLING
+                text = np.repeat(np.arange(hi - lo), np.diff(first))
+                key, times = np.unique(text[told] * TELLING + ids[told], return_counts=True)
+                sizes = np.bincount(key // TELLING, minlength=hi - lo)
+                sizes = sizes[sizes > 0]
+                yield pa.RecordBatch.from_arrays([_binary(sizes, (key % TELLING).astype(np.uint16)), _binary(sizes, times.astype(np.uint32))], names=["ids", "times"])
+
+    return settle(docs.select("text").mapInArrow(released(run), "ids binary, times binary"), "lm-bags")
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]):
+    """(unit vectors of square roots in whole 1 / FINE, text, id and count of each entry) of runs of bags.
+    Products with centers in whole 1 / COARSE, and sums over a run, are whole numbers below 2^24: float32
+    holds them in any order of adding, so nothing hangs on how files are split."""
+    for batch in batches:
+        for lo in range(0, len(batch), VECTORS):
+            part = batch.slice(lo, VECTORS)
+            sizes, ids = _flat(part.column(0), np.uint16)
+            _, times = _flat(part.column(1), np.uint32)
+            text = np.repeat(np.arange(len(part)), sizes)
+            norm = np.sqrt(np.bincount(text, times, len(part)))
+            x = np.zeros((len(part), TELLING), np.float32)
+            x[text, ids] = np.rint(FINE * np.sqrt(times) / norm[text])
+            yield x, text, ids, times
+
+
+def _coarse(centers: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(centers, axis=1, keepdims=True)
+    return np.rint(COARSE * centers / np.maximum(size, 1e-12)).astype(np.float32)
+
+
+def _gathered(bags: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By center, of all texts that are nearest to it: the sum of the vectors, and how often each word occurs."""
+    k = len(centers)
+
+    def run(batches):
+        sums, words = np.zeros((k, TELLING)), np.zeros(k * TELLING)
+        for x, text, ids, times in _vectors(batches):
+            near = np.argmax(x @ centers.T, axis=1)
+            pick = np.zeros((k, len(x)), np.float32)
+            pick[near, np.arange(len(x))] = 1
+            sums += pick @ x
+            words += np.bincount(near[text] * TELLING + ids, times, k * TELLING)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    tasks = max(2 * bags.sparkSession.sparkContext.defaultParallelism, 8)
+    sums, words = np.zeros((k, TELLING)), np.zeros((k, TELLING))
+    for a, b in bags.coalesce(tasks).mapInArrow(released(run), "sums binary, words binary").collect():  # tasks rows
+        sums += np.frombuffer(a).reshape(k, TELLING)
+        words += np.frombuffer(b).reshape(k, TELLING)
+    return sums, words
+
+
+def _farthest(bags: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """The vector of all texts that is least like its nearest center; of equals the first by its bytes."""
+
+    def run(batches):
+        best = None
+        for x, _, _, _ in _vectors(batches):
+            likeness = (x @ centers.T).max(axis=1)
+            least = float(likeness.min())
+            if best is None or least <= best[0]:
+                found = least, min(r.astype(np.uint16).tobytes() for r in x[likeness == least])
+                best = found if best is None else min(best, found)
+        if best:
+            yield pa.RecordBatch.from_pydict({"likeness": pa.array([best[0]]), "x": pa.array([best[1]], pa.binary())})
+
+    tasks = max(2 * bags.sparkSession.sparkContext.defaultParallelism, 8)
+    found = bags.coalesce(tasks).mapInArrow(released(run), "likeness double, x binary").collect()  # tasks rows
+    return np.frombuffer(min((r[0], bytes(r[1])) for r in found)[1], np.uint16).astype(np.float64)
+
+
+def text_kinds(bags: DataFrame, rounds: int = 20) -> np.ndarray:
     """log P(word | kind) of KINDS kinds of texts, from how often each text has each telling word: k-means of
-    unit vectors of square roots, begun at the text farthest from the kinds so far."""
-    x = np.sqrt(bags[bags.sum(axis=1) > 0]).astype(np.float64)
-    if not len(x):
-        return np.zeros((bags.shape[1], KINDS), np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centers = x.mean(axis=0, keepdims=True)
+    unit vectors of square roots over all texts, begun at the text farthest from the kinds so far. Each
+    round is a pass over the bags; it ends early where a further one would change nothing."""
+    total, _ = _gathered(bags, np.zeros((1, TELLING), np.float32))
+    if not total.any():
+        return np.zeros((TELLING, KINDS), np.float32)
+    centers = _coarse(total)
     for _ in range(KINDS):
-        centers = np.concatenate([centers, x[[np.argmin((x @ centers.T).max(axis=1))]]])
+        centers = np.concatenate([centers, _coarse(_farthest(bags, centers)[None])])
     centers = centers[1:]
     for _ in range(rounds):
-        near = np.argmax(x @ centers.T, axis=1)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centers = np.where(size > 0, sums / np.maximum(size, 1e-12), centers)
-    counts = np.zeros((KINDS, bags.shape[1]))
-    np.add.at(counts, near, bags[bags.sum(axis=1) > 0])
-    overall = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
+        sums, counts = _gathered(bags, centers)
+        moved = np.where(sums.any(axis=1, keepdims=True), _coarse(sums), centers)
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    overall = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * TELLING)
     return np.log((counts + 20 * overall) / (counts.sum(axis=1, keepdims=True) + 20)).T.astype(np.float32)
 
 
@@ -265,27 +359,6 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
-def _sample_bags(docs: DataFrame, codes) -> np.ndarray:
-    """How often each of SAMPLE texts at most has each of the TELLING most frequent words."""
-
-    def run(batches):
-        c = codes.value
-        for batch in batches:
-            out = []
-            for t in wordhash.texts_of(batch.column(0)):
-                ids = _tokens([t], c)[0]
-                out.append(np.bincount(ids[ids < TELLING], minlength=1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["u", "bag"])
-
-    hashed = docs.select("text", F.xxhash64("text").alias("u"))
-    last = hashed.select("u").distinct().orderBy("u").limit(SAMPLE).agg(F.max("u")).first()[0]
-    if last is None:
-        return np.zeros((0, TELLING), np.int32)
-    drawn = hashed.where(F.col("u") <= last).mapInArrow(released(run), "u long, bag binary").dropDuplicates(["u"])
-    bags = [np.frombuffer(r[1], np.int32) for r in sorted(drawn.collect())]
-    return np.array([np.pad(b, (0, TELLING - len(b))) for b in bags])
-
-
 def _learn_tables(docs: DataFrame, codes, spelling) -> tuple[list[np.ndarray], np.ndarray]:
     """Counts of ones and zeros in each slot of the tables, over all training texts; as one
     16-bit number a slot: the stretched probability in 1/64, and a class of how often it was seen.
@@ -420,8 +493,8 @@ def score(docs: DataFrame) -> DataFrame:
     by the word before, by the last two frequent words and by the kind of
     text that the words so far tell, in hashed tables of fixed size that are counted over all training
     texts, and mixed in the logistic domain by weights that a gate selects and that each text refines
-    as it goes; the rest of the path is told by the words' counts in texts of the kind. Kinds are found in
-    at most SAMPLE training texts by their TELLING most frequent words. A word without a path is
+    as it goes; the rest of the path is told by the words' counts in texts of the kind. Kinds are found
+    in all training texts by their TELLING most frequent words. A word without a path is
     an escape: then its count among such words and its spelling by hashed bit predictors share the
     probability by how often such words are new. score is log10 of the probability of the text.
 
@@ -448,7 +521,7 @@ def score(docs: DataFrame) -> DataFrame:
     new = min(0.5, max(0.02, singles / tail_tokens))
     code = Codes(hashes, counts, tail_tokens)
     first_codes = spark.sparkContext.broadcast(code)
-    code.telling[:TELLING] = text_kinds(_sample_bags(training, first_codes))
+    code.telling[:TELLING] = text_kinds(_bags(training, first_codes))
     first_codes.destroy()
     told_codes, spelling = spark.sparkContext.broadcast(code), spark.sparkContext.broadcast(Spelling(byte_counts))
     learnt, of_kind = _learn_tables(training, told_codes, spelling)

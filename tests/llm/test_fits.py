@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality
+from quillspark.llm import lm, quality
+from quillspark.llm.common import in_fold
 
 
 def plain_threshold(scored, dear=5.0):
@@ -38,3 +40,39 @@ def test_quality_takes_every_label(spark, monkeypatch):
     monkeypatch.setattr(quality, "_threshold", lambda scored: seen.append(scored.count()) or 0.0)
     assert quality.rate(docs, labels).count() == n
     assert seen == [labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 1).count()]
+
+
+def plain_kinds(bags, rounds=20):
+    x = np.rint(lm.FINE * np.sqrt(bags) / np.sqrt(bags.sum(axis=1, keepdims=True)))
+    centers = lm._coarse(x.sum(axis=0, keepdims=True))
+    for _ in range(lm.KINDS):
+        likeness = (x @ centers.T).max(axis=1)
+        far = min((r.astype(np.uint16).tobytes(), k) for k, r in enumerate(x) if likeness[k] == likeness.min())[1]
+        centers = np.concatenate([centers, lm._coarse(x[[far]])])
+    centers = centers[1:]
+    for _ in range(rounds):
+        near = np.argmax(x @ centers.T, axis=1)
+        sums = np.array([x[near == k].sum(axis=0) for k in range(lm.KINDS)])
+        centers = np.where(sums.any(axis=1, keepdims=True), lm._coarse(sums), centers)
+    counts = np.array([bags[near == k].sum(axis=0) for k in range(lm.KINDS)])
+    overall = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * lm.TELLING)
+    return np.log((counts + 20 * overall) / (counts.sum(axis=1, keepdims=True) + 20)).T
+
+
+def test_kinds_are_of_every_training_text(spark, monkeypatch):
+    n, kinds, seen = 5_000, lm.text_kinds, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[((F.col("id") * k) % (7 + 10 * k)).cast("string") for k in range(1, 9)], F.lit("ab")).alias("text"))
+
+    def told(bags):
+        seen.append((bags, kinds(bags)))
+        return seen[0][1]
+
+    monkeypatch.setattr(lm, "text_kinds", told)
+    assert lm.score(docs).count() == n
+    rows = seen[0][0].collect()
+    assert len(rows) == docs.where(~in_fold("doc_id", 10, 0)).count() > 4_000
+    bags = np.zeros((len(rows), lm.TELLING))
+    for k, r in enumerate(rows):
+        bags[k, np.frombuffer(r[0], np.uint16)] = np.frombuffer(r[1], np.uint32)
+    assert (bags.sum(axis=1) > 0).all() and np.allclose(seen[0][1], plain_kinds(bags), atol=1e-5)
+    assert np.array_equal(kinds(seen[0][0].repartition(7)), seen[0][1])
