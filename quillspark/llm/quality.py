@@ -95,12 +95,17 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null or empty text: all counts 0, base_failed. Rows that repeat are rated each; a doc_id with
     several labels takes the least quality. An empty table gives an empty result.
     """
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    known = known.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
-    some = docs.select("doc_id", "text").join(known.where("quality = 1 and half = 0"), "doc_id", "left")
+    known = labels.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).withColumn("half", half)
+    texts, target = docs.select("doc_id", "text"), F.col("doc_id").isNotNull() & (half == 0)
+    # texts of the other half and those without an id are in no target and stay where they are; one plan at
+    # any size of the labels, so that what is shuffled grows as the texts
+    asked = texts.where(target).join(known.where("quality = 1 and half = 0").select("doc_id", F.lit(1).alias("g")).hint("merge"), "doc_id", "left")
+    some = asked.select("text", "g").unionByName(texts.where(~target).select("text", F.lit(None).cast("int").alias("g")))
     # an outer explode: no filter on the arrays is then pushed into the expressions that make them
-    grams = base_counts(some, ["quality", "half"]).select(F.explode_outer("grams").alias("b"), ((F.col("quality") == 1) & (F.col("half") == 0)).cast("long").alias("g"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum(F.coalesce("g", F.lit(0))).alias("good")).collect()  # BUCKETS rows
+    grams = base_counts(some, ["g"]).select(F.explode_outer("grams").alias("b"), "g")
+    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("g").alias("good")).collect()  # BUCKETS rows
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for b, r, g in counts:
         if b is not None:

@@ -76,3 +76,17 @@ def test_kinds_are_of_every_training_text(spark, monkeypatch):
         bags[k, np.frombuffer(r[0], np.uint16)] = np.frombuffer(r[1], np.uint32)
     assert (bags.sum(axis=1) > 0).all() and np.allclose(seen[0][1], plain_kinds(bags), atol=1e-5)
     assert np.array_equal(kinds(seen[0][0].repartition(7)), seen[0][1])
+
+
+def test_target_takes_one_plan_at_any_size(spark, monkeypatch):
+    """Texts that are in no target are not shuffled, few labels are not broadcast, ids of other types match."""
+    docs = spark.range(2_000).select(F.when(F.col("id") >= 40, F.col("id")).alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(2_000).select(F.col("id").cast("string").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen, base_counts = [], quality.base_counts
+    monkeypatch.setattr(quality, "base_counts", lambda d, keep: seen.append(d) or base_counts(d, keep))
+    assert quality.rate(docs, labels).count() == 2_000
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "Union" in plan
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
+    assert seen[0].count() == 2_000
+    assert seen[0].where("g = 1").count() == docs.where(half & (F.col("doc_id") % 2 == 1)).count() > 400
