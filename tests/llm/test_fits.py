@@ -2,11 +2,12 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm import lm, quality
+from quillspark.llm import lm, quality, shingle_join
 from quillspark.llm.common import in_fold
 
 
@@ -90,3 +91,14 @@ def test_target_takes_one_plan_at_any_size(spark, monkeypatch):
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
     assert seen[0].count() == 2_000
     assert seen[0].where("g = 1").count() == docs.where(half & (F.col("doc_id") % 2 == 1)).count() > 400
+
+
+def test_frequency_classes_are_bytes_on_the_driver(spark):
+    docs = spark.range(200).select(F.concat_ws(" ", F.lit("a b c d e f g"), F.col("id").cast("string")).alias("text"))
+    tracemalloc.start()
+    try:
+        classes = shingle_join.frequency_classes(docs)
+        assert tracemalloc.get_traced_memory()[1] < 4 << shingle_join.SKETCH_BITS
+    finally:
+        tracemalloc.stop()
+    assert classes.dtype == np.uint8 and len(classes) == 1 << shingle_join.SKETCH_BITS and np.bincount(classes, minlength=16)[1:].sum() >= 1
