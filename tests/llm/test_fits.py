@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm import lm, quality, shingle_join
+from quillspark.llm import common, lm, quality, shingle_join
 from quillspark.llm.common import in_fold
 
 
@@ -102,3 +104,24 @@ def test_frequency_classes_are_bytes_on_the_driver(spark):
     finally:
         tracemalloc.stop()
     assert classes.dtype == np.uint8 and len(classes) == 1 << shingle_join.SKETCH_BITS and np.bincount(classes, minlength=16)[1:].sum() >= 1
+
+
+def test_settling_returns_what_the_driver_has_freed(spark, monkeypatch):
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0, raising=False)
+    memory, size = spark._jvm.org.apache.spark.unsafe.Platform, 100_000
+    status = Path(f"/proc/{spark._jvm.ProcessHandle.current().pid()}/smaps_rollup")
+    held_mb = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+    df = spark.range(10)
+    common.settle(df, "first").count()
+    blocks = [memory.allocateMemory(size) for _ in range(2000)]
+    for block in blocks:
+        memory.setMemory(block, 1, size)
+    for k, block in enumerate(blocks):  # some stay, so that glibc itself gives little back
+        if k % 50:
+            memory.freeMemory(block)
+    before = held_mb()
+    common.settle(df, "second")
+    after = held_mb()
+    for block in blocks[::50]:
+        memory.freeMemory(block)
+    assert before - after > 100
