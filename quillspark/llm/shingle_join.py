@@ -118,6 +118,19 @@ def outline(s: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """An outline in bits, for each cell as many zeros as it counts and then a one: nothing is lost, and where
+    outlines travel or rest they take a bit for each cell and element, two bits a cell up to CELLS[1] elements."""
+    bits = np.zeros(len(cells) + int(cells.sum(dtype=np.int64)), np.uint8)
+    bits[np.cumsum(cells, dtype=np.int64) + np.arange(len(cells))] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """The outline that packed() made these bytes of."""
+    return (np.diff(np.flatnonzero(np.unpackbits(bits)), prepend=-1) - 1).astype(np.uint8)
+
+
 def _folded(x: np.ndarray, cells: int) -> np.ndarray:
     """Outlines, one a row, over fewer cells."""
     while x.shape[-1] > cells:
@@ -147,7 +160,7 @@ def _nid(s: np.ndarray) -> int | None:
 
 
 def _prefixes(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, nid, keys, cells): the size, name, prefix and outline of each document's set. Of
+    """(doc_id, n, nid, keys, cells): the size, name, prefix and packed outline of each document's set. Of
     equal sets that one task meets the first alone has the prefix."""
 
     def run(batches):
@@ -160,7 +173,7 @@ def _prefixes(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
                 nid.append(_nid(s))
                 keys.append(_signed(s[: prefix_length(len(s), percent)] if len(s) and nid[-1] not in seen else s[:0]))
                 seen.add(nid[-1])
-                cells.append(outline(s).tobytes() if len(s) else None)
+                cells.append(packed(outline(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nid, pa.int64()), _arrays(keys), pa.array(cells, pa.binary())], names=["doc_id", "n", "nid", "keys", "cells"])
 
     return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, nid long, keys array<long>, cells binary")
@@ -279,7 +292,12 @@ def _led(pairs: DataFrame, held: DataFrame, column: str, judge, salts: int = 16)
 
 def _screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs whose outlines do not rule the threshold out."""
-    return _led(pairs, heads, "cells", lambda one, n: lambda s, m: may_reach(one, n, s[None], np.array([m]), percent)[0])
+
+    def judge(one, n):
+        mine = unpacked(one)
+        return lambda s, m: may_reach(mine, n, unpacked(s)[None], np.array([m]), percent)[0]
+
+    return _led(pairs, heads, "cells", judge)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,13 +355,13 @@ def _block_pairs(rest: DataFrame, heads: DataFrame, percent: int, block: int) ->
                 if at != (home[k], blk[k]):
                     at, held, index = (home[k], blk[k]), [], None
                 if role[k] == 0:
-                    held.append((nid[k], comp[k], n[k], np.frombuffer(cells[k], np.uint8)))
+                    held.append((nid[k], comp[k], n[k], unpacked(np.frombuffer(cells[k], np.uint8))))
                     continue
                 if not held:
                     continue
                 if index is None:
                     index = [(np.stack([x[3] for x in held if len(x[3]) == c]), *(np.array([x[j] for x in held if len(x[3]) == c]) for j in range(3))) for c in sorted({len(x[3]) for x in held})]
-                one = np.frombuffer(cells[k], np.uint8)
+                one = unpacked(np.frombuffer(cells[k], np.uint8))
                 for many, ids, comps, sizes in index:
                     hit = np.flatnonzero(comps != comp[k])
                     hit = hit[100 * np.minimum(n[k], sizes[hit]) >= percent * np.maximum(n[k], sizes[hit])]

@@ -106,6 +106,20 @@ def test_frequency_classes_are_bytes_on_the_driver(spark):
     assert classes.dtype == np.uint8 and len(classes) == 1 << shingle_join.SKETCH_BITS and np.bincount(classes, minlength=16)[1:].sum() >= 1
 
 
+def test_outlines_rest_as_two_bits_a_cell(spark):
+    """Of the join's largest rows: nothing is lost, and an element and a cell take one bit each."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((0, 3, 5, 70, 400, 5_000))], "doc_id long, text string")
+    classes = np.zeros(1 << shingle_join.SKETCH_BITS, np.uint8)
+    rows = shingle_join._prefixes(docs, spark.sparkContext.broadcast(classes), 5, 75).orderBy("doc_id").collect()
+    assert rows[0].cells is None
+    for r, text in zip(rows[1:], docs.orderBy("doc_id").toPandas().text[1:], strict=True):
+        cells = shingle_join.outline(shingle_join.ordered_set(next(shingle_join.shingle_hashes([text.encode()])), classes))
+        assert cells.sum() == r.n and 8 * len(r.cells) < len(cells) + r.n + 8
+        assert np.array_equal(shingle_join.unpacked(np.frombuffer(r.cells, np.uint8)), cells)
+    for cells in (np.full(64, 255, np.uint8), np.zeros(64, np.uint8), np.array([0, 255, 0, 1] * 16, np.uint8)):
+        assert np.array_equal(shingle_join.unpacked(np.frombuffer(shingle_join.packed(cells), np.uint8)), cells)
+
+
 def test_settling_returns_what_the_driver_has_freed(spark, monkeypatch):
     monkeypatch.setattr(common, "GIVE_BACK_S", 0, raising=False)
     memory, size = spark._jvm.org.apache.spark.unsafe.Platform, 100_000
