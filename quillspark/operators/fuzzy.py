@@ -91,10 +91,8 @@ def unit_diff(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFra
     the rest is removed or added. Both versions are dealt by doc, once; every step works on the units
     of one address or of one body, nothing compares all with all.
 
-    These are three of the passes of a version diff. Left out are renamed headings (0.50), the best
-    match across addresses (0.78), so a unit that is edited and shifted is removed plus added, and
-    grid slots of tables. Units have no kind: equal table cells or keys at different addresses count
-    as moved."""
+    This is for units that have nothing but an address, such as numbered lines. Units with kinds,
+    headings and tables are matched by versions.version_diff, in all passes."""
     of = lambda d, is_new: d.select("doc", F.col("address").alias("at"), "body", F.lit(is_new).alias("new"))
     u = of(old, False).union(of(new, True)).repartition("doc")
     whole = F.col("doc").isNotNull() & F.col("at").isNotNull()  # others meet nothing
